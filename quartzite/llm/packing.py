@@ -10,9 +10,10 @@ boundary record each: where it starts in its document, its length, its window
 and its place there. No rows are shuffled. All windows but the last are full;
 sequences() pads that one.
 
-A word's ids are looked up in a cache of bounded size: the tokenizer splits at
-white space before anything else, so a text's ids are those of its
-space-separated chunks in order.
+Ids are looked up in caches of bounded size: the tokenizer splits at white
+space before anything else, so a text's ids are those of its space-separated
+chunks in order, and a chunk's are those of its pieces. Where chunks hold
+characters beyond plain Latin ones, the whole tokenizer reads them.
 
 Defined cases: null text is an empty text, whose only id is the end id; a
 null doc_id stays null; repeated rows are packed as often as they occur;
@@ -21,8 +22,10 @@ an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,59 +36,107 @@ from pyspark.sql import functions as F
 from .common import saved
 
 WINDOW, END_ID = 4096, 2
-CACHED_CHUNKS, CACHED_BYTES, AT_ONCE = 200_000, 64, 256
+CACHED_CHUNKS, CACHED_PIECES, CACHED_BYTES, AT_ONCE = 500_000, 250_000, 64, 512
 
+#: Chunks of these characters alone fall apart and change case as _PIECE and str.lower say; all others go to the whole tokenizer.
+_PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u017F]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u017F]+")
 
-class Encoder:
-    """Ids of byte texts by a tokenizers file, with a cache of chunks."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+class _Places(dict):
+    """Chunks by the order in which they were first met."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        self.new.append(chunk)
+        place = self[chunk] = len(self)
+        return place
 
-        self.tokenizer = Tokenizer.from_file(path)
+
+class Encoder:
+    """Ids of byte texts by a tokenizers file, with caches of chunks between spaces and of the pieces that these fall into."""
+
+    def __init__(self, path: str, pieces: bool):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.merger = None
+        if pieces:
+            self.merger = Tokenizer.from_file(path)
+            self.merger.normalizer = normalizers.Sequence([])
+            self.merger.pre_tokenizer = pre_tokenizers.Sequence([])
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.signs = {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+        self.pieces: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.places = _Places()
         self.flat = np.empty(1 << 16, np.uint32)
-        self.bounds = np.zeros(1 << 16, np.int64)
+        self.bounds = np.zeros(1, np.int64)
+
+    def _merge(self, pieces: list[str]) -> None:
+        """Learn the ids of pieces, which hold no white space and are normalised."""
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i : i + 4096]
+            signs = [p if p.isascii() else "".join(map(self.signs.__getitem__, p.encode())) for p in part]
+            e = self.merger.encode(signs, is_pretokenized=True, add_special_tokens=False)
+            ids = e.ids
+            ends = np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))).tolist()
+            at = 0
+            for p, end in zip(part, ends, strict=True):
+                self.pieces[p] = ids[at:end]
+                at = end
 
     def _learn(self, chunks: list[bytes]) -> None:
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces.clear()
         texts = [c.decode("utf-8", "replace") for c in chunks]
-        at = len(self.known)
-        end = int(self.bounds[at])
-        for c, e in zip(chunks, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids = e.ids
-            while end + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if at + 2 > len(self.bounds):
-                self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-            self.flat[end : end + len(ids)] = ids
-            end += len(ids)
-            self.known[c] = at
-            at += 1
-            self.bounds[at] = end
+        split = [_PIECE.findall(t.lower()) if self.merger and _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        self._merge(list({p for s in split if s for p in s if p not in self.pieces}))
+        rest = [t for t, s in zip(texts, split, strict=True) if s is None]
+        others = (e.ids for i in range(0, len(rest), 1024) for e in self.whole.encode_batch(rest[i : i + 1024], add_special_tokens=False))
+        ids: list[int] = []
+        ends = []
+        before = int(self.bounds[-1])
+        pieces = self.pieces
+        for s in split:
+            if s is None:
+                ids += next(others)
+            elif len(s) == 1:
+                ids += pieces[s[0]]
+            else:
+                for p in s:
+                    ids += pieces[p]
+            ends.append(before + len(ids))
+        while before + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[before : before + len(ids)] = ids
+        self.bounds = np.concatenate([self.bounds, np.array(ends, np.int64)])
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, end id last."""
-        if len(self.known) > CACHED_CHUNKS:
+        if len(self.places) > CACHED_CHUNKS:
             self._clear()
-        words = [t.split() for t in texts]
-        known = self.known
-        new = {w for ws in words for w in ws if w not in known}
+        places = self.places
+        split = [t.split() for t in texts]
+        at = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        new, places.new = places.new, []
         if new:
-            self._learn(sorted(new))
-        flat, bounds, out = self.flat, self.bounds, []
-        for ws in words:
-            at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-            first, n = bounds[at], bounds[at + 1] - bounds[at]
-            before = np.cumsum(n) - n
-            total = int(n.sum())
-            got = np.empty(total + 1, np.uint32)
-            got[:total] = flat[np.repeat(first - before, n) + np.arange(total)]
-            got[total] = END_ID
-            out.append(got)
-        if any(len(w) > CACHED_BYTES for w in new):  # long chunks are not worth their place
+            self._learn(new)
+        first = self.bounds[at]
+        n = self.bounds[at + 1] - first
+        before = np.cumsum(n) - n
+        ids = self.flat[np.repeat(first - before, n) + np.arange(int(n.sum()))]
+        ends = np.append(before, len(ids))[np.cumsum([len(ws) for ws in split])].tolist()
+        out, done = [], 0
+        for end in ends:
+            out.append(np.append(ids[done:end], np.uint32(END_ID)))
+            done = end
+        if any(len(c) > CACHED_BYTES for c in new):  # long chunks are not worth their place
             self._clear()
         return out
 
@@ -113,13 +164,27 @@ def id_type(tokenizer: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
 
+#: The pre-tokenizer pattern that _PIECE restates for plain characters.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_in_pieces(tokenizer: str) -> bool:
+    """Whether the file lower-cases and splits as _PIECE does, so that pieces may be merged one by one."""
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    pattern = steps[0].get("pattern", {}).get("Regex") if steps else None
+    return kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and pattern == _PATTERN
+
+
 def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, part, start (its place among part's tokens), n, ids (binary, of id_type)."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    kind, dtype = d.schema["doc_id"].dataType.simpleString(), id_type(tokenizer)
+    kind, dtype, by_piece = d.schema["doc_id"].dataType.simpleString(), id_type(tokenizer), splits_in_pieces(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer, by_piece))
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
             row = 0
