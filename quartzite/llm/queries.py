@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, minhash, packing, toxicity
+from . import chat_format, decontaminate, line_dedup, minhash, packing, topk, toxicity, warc
 from .common import table
 
 
@@ -104,13 +104,44 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT *, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM m
+"""
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
+    "op10_topk": op10_topk,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op8_warc": OP8_SQL, "op10_topk": OP10_SQL}
