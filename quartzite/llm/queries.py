@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, minhash, packing, topk, toxicity, warc
+from . import chat_format, decontaminate, licenses, line_dedup, minhash, packing, topk, toxicity, url_filter, warc
 from .common import table
 
 
@@ -104,6 +104,59 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.train(docs))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.size("paragraphs").cast("long").alias("n_paragraphs"))
+
+
+#: The dated list: fixed entries, and one that comes and goes for every host whose name's length is divisible by 3.
+URL_LIST = [
+    ("example.net", "2024-02-01", "block"),
+    ("example.net", "2024-07-01", "remove"),
+    ("example.net", "2024-10-01", "block"),
+    ("example.net/en", "2024-03-01", "allow"),
+    ("example.net/en", "2024-11-15", "remove"),
+    ("example.org/de", "2024-01-15", "block"),
+    ("example.com/fr", "2024-05-01", "block"),
+    ("example.com/fr", "2024-05-20", "allow"),
+    ("example.com", "2024-09-01", "block"),
+    ("example.com", "2024-09-30", "remove"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")))
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1)
+    hosts = pages.select(host.alias("key")).distinct().where("key <> '' AND length(key) % 3 = 0")
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (F.length("key") * 7 % 200).cast("int"))
+    comes, goes = (hosts.select("key", F.date_add(start, d).alias("listed_at"), F.lit(a).alias("action")) for d, a in ((0, "block"), (90, "remove")))
+    fixed = spark.createDataFrame(URL_LIST, "key string, listed_at string, action string").withColumn("listed_at", F.to_date("listed_at"))
+    found = url_filter.filter_urls(captures, fixed.unionByName(comes).unionByName(goes))
+    return found.select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "n_active", "list_key", "list_action", "blocked")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS t,
+                  regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host,
+                  regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS rest FROM pages),
+h AS (SELECT DISTINCT host AS key, DATE '2024-01-01' + CAST(len(host) * 7 % 200 AS INTEGER) AS d FROM p WHERE host <> '' AND len(host) % 3 = 0),
+e AS (SELECT * FROM (VALUES @list) AS v(key, listed_at, action)
+      UNION ALL SELECT key, d, 'block' FROM h UNION ALL SELECT key, d + 90, 'remove' FROM h),
+i AS (SELECT *, lead(listed_at) OVER (PARTITION BY key ORDER BY listed_at) AS ended FROM e),
+k AS (SELECT page_id, url, t, host, list_filter(string_split(rest, '/')[2:3], lambda x: x <> '') AS path, unnest(range(1, len(string_split(host, '.')))) AS j FROM p),
+s AS (SELECT page_id, t, array_to_string(string_split(host, '.')[j:], '.') AS domain, path, unnest(range(0, len(path) + 1)) AS n FROM k),
+c AS (SELECT page_id, t, domain || CASE WHEN n > 0 THEN '/' || array_to_string(path[1:n], '/') ELSE '' END AS key FROM s),
+m AS (SELECT c.page_id, c.key, i.action FROM c JOIN i ON c.key = i.key AND c.t >= i.listed_at AND (i.ended IS NULL OR c.t < i.ended) WHERE i.action <> 'remove'),
+b AS (SELECT page_id, count(*) OVER (PARTITION BY page_id) AS n, key, action FROM m
+      QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY len(key) DESC, key DESC) = 1)
+SELECT p.page_id, p.url, CAST(p.t AS VARCHAR) AS fetched_at, coalesce(b.n, 0) AS n_active, b.key AS list_key, b.action AS list_action,
+       coalesce(b.action = 'block', false) AS blocked
+FROM p LEFT JOIN b ON b.page_id = p.page_id
+""".replace("@list", ", ".join(f"('{k}', DATE '{d}', '{a}')" for k, d, a in URL_LIST))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -139,9 +192,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_license_scan": op6_license_scan,
+    "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op8_warc": OP8_SQL, "op10_topk": OP10_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_warc": OP8_SQL, "op10_topk": OP10_SQL}
