@@ -1 +1 @@
-
+"""Scalar and aggregate semantics as Spark columns."""

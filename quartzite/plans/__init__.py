@@ -1 +1 @@
-
+"""The dialect: text to syntax tree to DataFrame."""
