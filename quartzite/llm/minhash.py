@@ -16,7 +16,8 @@ Never are all pairs of a bucket made. Linked classes become components, so:
    head of another choice, HEADS times, in one go;
 3. what is left in such buckets is compared across components only, after
    classes that cannot be linked with anything were set aside: a shingle that
-   occurs in no other class bounds a class's similarity with every other one.
+   occurs in no other class bounds a class's similarity with every other one,
+   and counts of the other shingles by hash cells bound that of a pair.
 Step 3 is exact for all candidates, so no link between candidates is lost.
 
 Words: A-Z lower-cased, runs of anything but ASCII white space. Defined cases:
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import saved
 from .components import components
 
-ROWS, MISS, HEADS, SIGMAS = 5, 1e-6, 3, 6
+ROWS, MISS, HEADS, SIGMAS, CELLS = 5, 1e-6, 3, 6, 64
 CACHED_WORDS, AT_ONCE = 300_000, 40_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -286,25 +287,49 @@ def _confirmed(pairs: DataFrame, facts: DataFrame, sets: DataFrame, similarity:
 
 
 def _across(members: DataFrame, facts: DataFrame, sets: DataFrame, similarity: float, n_hashes: int) -> DataFrame:
-    """Candidate pairs of different components in a bucket, without those that lone shingles rule out.
+    """Candidate pairs of different components in a bucket, without those that counts of shingles rule out.
 
-    A shingle of one class alone is in no intersection. With u lone shingles of
-    n, no partner takes a class over (n - u) / n, and a pair's intersection is
-    at most the lesser n - u.
+    A shingle of one class alone is in no intersection. The other shingles of
+    a class are counted by CELLS hash cells, and an intersection holds at most
+    the lesser count of each cell. Copies of one text that were changed in
+    different places lose shingles in different cells, so this bound comes
+    near to their true similarity and leaves few pairs that are no links.
     """
     c = members.select("c").distinct()
-    lone = sets.join(c, "c", "left_semi").select("c", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c"))
-    lone = lone.where("k = 1").groupBy("c").agg(F.count(F.lit(1)).alias("lone"))
-    f = facts.join(c, "c", "left_semi").join(lone, "c", "left").select("c", "n", "sig", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("rest"))
+    own = sets.join(c, "c", "left_semi")
+    lone = own.select("c", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c"))
+    lone = lone.where("k = 1").groupBy("c").agg(F.collect_list("h").alias("lone"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = []
+            for every, alone in zip(b.column("shingles"), b.column("lone"), strict=True):
+                n = np.bincount(every.values.to_numpy() & (CELLS - 1), minlength=CELLS)
+                if alone.is_valid:
+                    n -= np.bincount(alone.values.to_numpy() & (CELLS - 1), minlength=CELLS)
+                cells.append(n)
+            yield pa.RecordBatch.from_arrays([b.column("c"), pa.array([int(n.sum()) for n in cells], pa.int64()), pa.array(cells, pa.list_(pa.int32()))], names=["c", "rest", "cells"])
+
+    rest = own.join(lone, "c", "left").mapInArrow(count, "c struct<a:long,b:long>, rest long, cells array<int>")
+    f = facts.select("c", "n", "sig").join(rest, "c")
     f = saved(f.where(_linked(F.col("rest"), F.col("rest"), F.col("n"), similarity)), "lone")
     m = members.join(f, "c")
     # In each bucket, the least size of a partner: who cannot reach even that one is done with the bucket.
     least = m.groupBy("key").agg(F.min("n").alias("least"))
     partner = F.greatest("rest", "least")
     m = saved(m.join(least, "key").where(_linked(F.col("rest"), partner, F.col("n"), similarity)), "rest")
-    a = m.select("key", *(F.col(x).alias(f"{x}_a") for x in ("c", "comp", "n", "rest", "sig")))
-    b = m.select("key", *(F.col(x).alias(f"{x}_b") for x in ("c", "comp", "n", "rest", "sig")))
-    inter = F.least("rest_a", "rest_b")
+    names = ("c", "comp", "n", "rest", "sig", "cells")
+    a = m.select("key", *(F.col(x).alias(f"{x}_a") for x in names))
+    b = m.select("key", *(F.col(x).alias(f"{x}_b") for x in names))
     near = estimate(F.col("sig_a"), F.col("sig_b"), n_hashes) >= _lowest_estimate(similarity, n_hashes)
-    j = a.join(b, (a["key"] == b["key"]) & (F.col("c_a") > F.col("c_b")) & (F.col("comp_a") != F.col("comp_b")) & _linked(inter, F.col("n_a"), F.col("n_b"), similarity) & near)
+    common = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda n, x: n + x)
+    j = a.join(
+        b,
+        (a["key"] == b["key"])
+        & (F.col("c_a") > F.col("c_b"))
+        & (F.col("comp_a") != F.col("comp_b"))
+        & _linked(F.least("rest_a", "rest_b"), F.col("n_a"), F.col("n_b"), similarity)
+        & near
+        & _linked(common, F.col("n_a"), F.col("n_b"), similarity),
+    )
     return j.select(F.col("c_a").alias("u"), F.col("c_b").alias("v")).distinct()
