@@ -234,7 +234,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     share = {k: min(1.0, most / max(1, counts.get(k, 0))) for k, most in ((0, MAX_CLEAN), (1, MAX_TOXIC))}
     drawn = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < F.when(F.col("y") == 1, share[1] * 1_000_000).otherwise(share[0] * 1_000_000)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = d.join(y.where(drawn), "doc_id").dropDuplicates(["doc_id", "text"])
+    # The drawn ids are bounded by the two parameters, so they are sent out and no text is shuffled but theirs.
+    rows = d.join(F.broadcast(y.where(drawn)), "doc_id").dropDuplicates(["doc_id", "text"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
