@@ -294,6 +294,20 @@ class Session:
 
         return self._within(work, False)
 
+    def merge_changes(self, table: str, changes: DataFrame, column: str) -> Result:
+        """Add changes (key column named as the table's, and "change") to a column of the rows they name, with all checks."""
+
+        def work(txn: Transaction) -> Result:
+            spec = self._spec(txn, table)
+            spec.column(column)
+            c = changes.select(F.col(spec.primary_key).alias("change_key"), F.col("change").alias("change_by"))
+            rows = self._store().scan(txn, spec)
+            j = rows.join(c, rows[spec.primary_key] == c["change_key"])
+            new = [(rows[x.name] + c["change_by"]).alias(x.name) if x.name == column else rows[x.name] for x in spec.columns]
+            return Result("UPDATE", count=dml.update(self._store(), txn, spec, j.select(c["change_key"].alias(dml.old_key(spec)), *new), False))
+
+        return self._within(work, False)
+
     def _row_scope(self, spec: TableSpec, rows: DataFrame) -> tuple[DataFrame, Scope]:
         df, fields = standardized(rows)
         for f in fields:
