@@ -10,10 +10,11 @@ boundary record each: where it starts in its document, its length, its window
 and its place there. No rows are shuffled. All windows but the last are full;
 sequences() pads that one.
 
-Ids are looked up in caches of bounded size: the tokenizer splits at white
-space before anything else, so a text's ids are those of its space-separated
-chunks in order, and a chunk's are those of its pieces. Where chunks hold
-characters beyond plain Latin ones, the whole tokenizer reads them.
+If the tokenizer drops white space, lower-cases and splits as _PIECE does, ids
+are looked up in caches of bounded size: a text's ids are those of its
+space-separated chunks in order, and a chunk's are those of its pieces. Where
+chunks hold characters beyond plain Latin ones, and for all other tokenizers,
+the whole tokenizer reads the text.
 
 Defined cases: null text is an empty text, whose only id is the end id; a
 null doc_id stays null; repeated rows are packed as often as they occur;
@@ -65,10 +66,9 @@ class _Places(dict):
 
 
 class Encoder:
-    """Ids of byte texts by a tokenizers file, with caches of chunks between spaces and of the pieces that these fall into."""
+    """Ids of byte texts by a tokenizers file; pieces: whether chunks between spaces, and the pieces that these fall into, may be read one by one."""
 
     def __init__(self, path: str, pieces: bool):
-        self.parted = _parted if pieces else bytes
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -104,16 +104,14 @@ class Encoder:
             self.pieces.clear()
         texts = [c.decode("utf-8", "replace") for c in chunks]
         pieces = self.pieces
-        split: list = [None] * len(texts)
-        if self.merger:
-            # A chunk of lower-case ASCII letters is one piece, and as a chunk it is known from now on.
-            split = [
-                t if c.isalpha() and c.islower() else _PIECE.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None
-                for c, t in zip(chunks, texts, strict=True)
-            ]
-            new = list({p for s in split if s.__class__ is list for p in s if p not in pieces})
-            pieces.update(zip(new, self._merged(new), strict=True))
-            whole = self._merged([s for s in split if s.__class__ is str])
+        # A chunk of lower-case ASCII letters is one piece, and as a chunk it is known from now on.
+        split = [
+            t if c.isalpha() and c.islower() else _PIECE.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None
+            for c, t in zip(chunks, texts, strict=True)
+        ]
+        new = list({p for s in split if s.__class__ is list for p in s if p not in pieces})
+        pieces.update(zip(new, self._merged(new), strict=True))
+        whole = self._merged([s for s in split if s.__class__ is str])
         rest = [t for t, s in zip(texts, split, strict=True) if s is None]
         others = (e.ids for i in range(0, len(rest), 1024) for e in self.whole.encode_batch(rest[i : i + 1024], add_special_tokens=False))
         ids: list[int] = []
@@ -135,10 +133,13 @@ class Encoder:
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, end id last."""
+        if not self.merger:
+            whole = self.whole.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array([*e.ids, END_ID], np.uint32) for e in whole]
         if len(self.places) > CACHED_CHUNKS:
             self._clear()
         places = self.places
-        split = [self.parted(t).split() for t in texts]
+        split = [_parted(t).split() for t in texts]
         at = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         new, places.new = places.new, []
         if new:
