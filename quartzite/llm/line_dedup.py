@@ -118,8 +118,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     runs = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     key, gone, n_lines, n_removed = (fresh(docs, c) for c in ("line_key", "line_runs", "n_lines", "n_removed"))
     left = docs.withColumn(key, F.xxhash64(text))
-    runs = runs.select(F.col("doc_id").alias(gone + "_d"), F.col("key").alias(gone + "_k"), F.col("runs").alias(gone))
-    j = left.join(runs, left[doc_id].eqNullSafe(runs[gone + "_d"]) & (left[key] == runs[gone + "_k"]), "left")
+    its_doc, its_key = fresh(docs, "line_doc"), fresh(docs, "line_text")
+    runs = runs.select(F.col("doc_id").alias(its_doc), F.col("key").alias(its_key), F.col("runs").alias(gone))
+    j = left.join(runs, left[doc_id].eqNullSafe(runs[its_doc]) & (left[key] == runs[its_key]), "left")
     cut = F.array_distinct(F.flatten(F.transform(gone, lambda r: F.sequence(r["first"], r["last"]))))
     lines = _lines(F.col(text))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut)

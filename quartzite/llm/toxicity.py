@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4000, 8000, 2000
 MIN_FUZZY, CACHED_WORDS = 5, 500_000
 WINDOW, QUOTED, ADDRESSED = 4, 0.3, 1.5
@@ -172,9 +174,17 @@ def learned_terms(texts: Iterable[str], toxic: np.ndarray) -> dict[str, float]:
                 terms.update(s[:n] + "*" for n in range(4, min(9, len(s) + 1)))
         seen[int(y)].update(terms)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    least = max(3, n1 * 0.003)
-    odds = {t: math.log((k + 0.5) / (n1 + 1)) - math.log((seen[0][t] + 0.5) / (n0 + 1)) for t, k in seen[1].items() if k >= least}
-    odds = {t: v for t, v in odds.items() if v >= 1.5 and len(t.rstrip("*")) >= 3}
+    often = {t: k for t, k in seen[1].items() if k >= max(3, n1 * 0.003) and len(t.rstrip("*")) >= 3}
+    share = n1 / (n1 + n0)
+    # Chernoff's bound on the chance that a term without meaning falls on toxic documents so often, with allowance for the number of terms.
+    sure = math.log(max(2, len(often)))
+    odds = {}
+    for t, k in often.items():
+        n = k + seen[0][t]
+        p = k / n
+        if p > share and n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)) >= sure:
+            odds[t] = math.log((k + 0.5) / (n1 + 1)) - math.log((seen[0][t] + 0.5) / (n0 + 1))
+    odds = {t: v for t, v in odds.items() if v >= 1.5}
 
     def told(t: str) -> bool:
         """Whether a shorter stem says as much."""
@@ -248,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with a column of scores from 0 to 1. Rows stay where they are; the model is sent once to each executor."""
+    """docs with a column of scores from 0 to 1 ("_" is added to its name while that is taken). Rows stay where they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -260,4 +270,4 @@ def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score")
             x = np.array([lexicon.features(t) if t else [0.0] * N_FEATURES for t in s]).reshape(-1, N_FEATURES)
             yield pd.Series(1 / (1 + np.exp(-np.clip(b[0] + ((x - mean) / scale) @ b[1:], -30, 30))))
 
-    return docs.withColumn(name, scored(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return docs.withColumn(fresh(docs, name), scored(F.coalesce(F.col(text).cast("string"), F.lit(""))))
