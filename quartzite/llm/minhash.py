@@ -43,7 +43,7 @@ from .common import saved
 from .components import components
 
 ROWS, MISS, HEADS, SIGMAS, CELLS = 5, 1e-6, 3, 6, 64
-CACHED_WORDS, AT_ONCE = 300_000, 40_000
+CACHED_WORDS, AT_ONCE = 200_000, 40_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

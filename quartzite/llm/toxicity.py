@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4000, 8000, 2000
-MIN_FUZZY, CACHED_WORDS = 5, 500_000
+MIN_FUZZY, CACHED_WORDS = 5, 200_000
 WINDOW, QUOTED, ADDRESSED = 4, 0.3, 1.5
 
 #: Insults that every model starts from.
