@@ -1 +1 @@
-
+"""The dialect has no unbounded source, so there is no streaming operator."""
