@@ -12,8 +12,8 @@ run; grouping by the name gives the interval, its size and its first suffix
 (smallest doc_id, then line). Every other suffix of the interval starts a
 later copy, and the union of the copies' lines is the maximal repeated run,
 which is deleted. The grouping is a partial aggregate and the join that
-returns to the suffixes is a plain equi join that Spark may split, so a line
-that a third of all documents share loads no single task.
+returns to the suffixes is an equi join of two plain tables, which Spark may
+split, so a line that a third of all documents share loads no single task.
 
 Defined cases: null text stays null and has no lines; an empty text stays
 empty; lines are compared after trimming white space; blank lines start no
@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, saved
 
 MIN_WORDS = 30
 
@@ -99,9 +99,9 @@ def suffixes(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
 
 
 def intervals(s: DataFrame) -> DataFrame:
-    """Intervals of two suffixes or more: name a and b, their number, and the place of the first."""
+    """Intervals of two suffixes or more, written down: name a and b, their number, and the place of the first."""
     place = F.struct("doc_id", "key", "first")
-    return s.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).where("n > 1")
+    return saved(s.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).where("n > 1"), "intervals")
 
 
 def later_copies(s: DataFrame) -> DataFrame:

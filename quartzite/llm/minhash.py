@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc
     links = class_links(docs, s, size, similarity, bands, doc_id, text)
     comp = classes.select("c", "label").join(links, F.col("c") == F.col("node"), "left").select("c", "label", F.coalesce("comp", "c").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("label").alias("component_id"))
-    named = comp.join(least, "comp").select("c", "component_id")
+    named = saved(comp.join(least, "comp").select("c", "component_id"), "named")  # a plain table: a class may hold many documents
     out = s.select("doc_id", "tk", F.col("n").alias("n_shingles"), "c").join(named, "c", "left")
     return out.select("doc_id", "tk", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -218,6 +218,7 @@ def class_links(docs: DataFrame, s: DataFrame, size: int, similarity: float, ban
     classes = s.where("n > 0").groupBy("c").agg(F.min_by(F.struct("doc_id", "tk", "n", "keys", "sig"), F.struct("doc_id", "tk")).alias("r")).select("c", "r.*")
     members = classes.select("c", F.explode("keys").alias("key"))
     heads = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("head")).where("k > 1").drop("k")
+    heads = saved(heads, "heads")  # a plain table, so that Spark may split a large bucket in the join
     members = saved(members.join(heads, "key"), "buckets")
     need = members.select("c").distinct()
     facts = saved(classes.select("c", "doc_id", "tk", "n", "sig").join(need, "c", "left_semi"), "classes")
@@ -231,7 +232,7 @@ def class_links(docs: DataFrame, s: DataFrame, size: int, similarity: float, ban
     if open_.isEmpty():
         return comp
     salted = open_.select("*", F.explode(F.sequence(F.lit(1), F.lit(HEADS))).alias("salt"))
-    other = salted.groupBy("key", "salt").agg(F.min(F.struct(F.xxhash64("salt", "c").alias("h"), "c", "comp")).alias("head"))
+    other = saved(salted.groupBy("key", "salt").agg(F.min(F.struct(F.xxhash64("salt", "c").alias("h"), "c", "comp")).alias("head")), "heads")
     pairs = salted.join(other, ["key", "salt"]).where("comp != head.comp").select(F.col("c").alias("u"), F.col("head.c").alias("v"))
     more = _confirmed(_ordered(pairs), facts, sets, similarity, n_hashes)
     links = saved(links.unionByName(more), "links")
@@ -252,8 +253,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     """Members (key, c, comp) of the buckets that hold more than one component."""
-    m = members.join(comp, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
+    m = saved(members.join(comp, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("comp", "c").alias("comp")), "labelled")
     mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    mixed = saved(mixed, "mixed")
     return saved(m.join(mixed, "key"), "open")
 
 
@@ -313,9 +315,9 @@ def _across(members: DataFrame, facts: DataFrame, sets: DataFrame, similarity: f
     rest = own.join(lone, "c", "left").mapInArrow(count, "c struct<a:long,b:long>, rest long, cells array<int>")
     f = facts.select("c", "n", "sig").join(rest, "c")
     f = saved(f.where(_linked(F.col("rest"), F.col("rest"), F.col("n"), similarity)), "lone")
-    m = members.join(f, "c")
+    m = saved(members.join(f, "c"), "bounded")
     # In each bucket, the least size of a partner: who cannot reach even that one is done with the bucket.
-    least = m.groupBy("key").agg(F.min("n").alias("least"))
+    least = saved(m.groupBy("key").agg(F.min("n").alias("least")), "least")
     partner = F.greatest("rest", "least")
     m = saved(m.join(least, "key").where(_linked(F.col("rest"), partner, F.col("n"), similarity)), "rest")
     names = ("c", "comp", "n", "rest", "sig", "cells")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, saved
 
 SEGMENTS = 2
 
@@ -55,10 +55,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     """captures with n_active (active entries that match), list_key and list_action (of the longest) and blocked."""
     c = captures.select(F.col(url).alias("u"), F.col(fetched_at).alias("t")).dropna().distinct()
     k = c.select("u", "t", F.explode(F.array_distinct(keys(F.col("u")))).alias("key"))
-    e = intervals(entries)
+    e = saved(intervals(entries), "intervals")  # plain tables on both sides, so that Spark may split a host's join
     m = k.join(e, (k["key"] == e["key"]) & (k["t"] >= e["from_at"]) & (e["until_at"].isNull() | (k["t"] < e["until_at"])))
     best = F.max(F.struct(F.char_length(k["key"]).alias("n"), k["key"].alias("key"), e["action"].alias("action")))
-    v = m.groupBy("u", "t").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
+    v = saved(m.groupBy("u", "t").agg(F.count(F.lit(1)).alias("n"), best.alias("best")), "verdicts")
     n_active, list_key, action, blocked = (fresh(captures, x) for x in ("n_active", "list_key", "list_action", "blocked"))
     j = captures.join(v, (captures[url] == v["u"]) & (captures[fetched_at] == v["t"]), "left")
     return j.select(

@@ -158,7 +158,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
     )
     p = p.withColumn("digest", F.sha2("payload", 256))
     same = p.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    p = p.join(same.where("n > 1").select("digest", "first"), "digest", "left")
+    same = saved(same.where("n > 1").select("digest", "first"), "warc-same")  # a plain table, so that Spark may split the join
+    p = p.join(same, "digest", "left")
     p = p.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     kind = p.schema["page_id"].dataType.simpleString()
 
