@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,10 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Delete what saved() wrote; results that still need it are gone with the application."""
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and lost executors lose nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage is cut and lost executors lose nothing. Deleted when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -35,10 +49,5 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def hash128(*cols: Column) -> Column:
-    """Two independently seeded 64-bit hashes as one string-free struct."""
-    return F.struct(F.xxhash64(F.lit(0x51), *cols).alias("a"), F.xxhash64(F.lit(0xA7C3), *cols).alias("b"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
