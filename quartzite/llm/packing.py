@@ -30,6 +30,7 @@ from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,20 +38,18 @@ from pyspark.sql import functions as F
 from .common import saved
 
 WINDOW, END_ID = 4096, 2
-CACHED_CHUNKS, CACHED_PIECES, CACHED_BYTES, AT_ONCE = 800_000, 100_000, 64, 512
+CACHED_CHUNKS, CACHED_PIECES, CACHED_BYTES, AT_ONCE, GROUP_BYTES = 800_000, 100_000, 64, 2048, 4 << 20
 
 #: Chunks of these characters alone fall apart and change case as _PIECE and str.lower say; all others go to the whole tokenizer.
 _PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u017F]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u017F]+")
 
 
-#: A comma or full stop that ends a chunk after a plain letter.
-_STOP = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
-
-
-def _parted(text: bytes) -> bytes:
-    """text in fewer different chunks, of the same ids: lower case, and a comma or full stop after a letter as its own piece, which it is in any case."""
-    return text if b"<|" in text else _STOP.sub(rb" \1", text.lower())
+def _parted(texts: pa.Array) -> pa.ListArray:
+    """The chunks of each text between ASCII white space, in fewer different ones of the same ids: lower case, and a comma
+    or full stop after a letter as a chunk of its own, which it is in any case. Texts with special tokens are only split."""
+    parted = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([,.])([ \\n])", r"\1 \2\3")
+    return pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, parted))
 
 
 class _Places(dict):
@@ -86,69 +85,75 @@ class Encoder:
     def _clear(self) -> None:
         self.places = _Places()
         self.flat = np.empty(1 << 16, np.uint32)
-        self.bounds = np.zeros(1, np.int64)
+        self.end = 0
+        #: By place: where its ids start in flat, and their number.
+        self.first = self.number = np.zeros(0, np.int64)
 
-    def _merged(self, pieces: list[str]) -> Iterator[list[int]]:
-        """The ids of pieces, which hold no white space and are normalised."""
+    def _merged(self, pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of pieces, which hold no white space and are normalised, and the number of each piece's, part by part."""
         for i in range(0, len(pieces), 4096):
             part = pieces[i : i + 4096]
             signs = [p if p.isascii() else "".join(map(self.signs.__getitem__, p.encode())) for p in part]
             e = self.merger.encode(signs, is_pretokenized=True, add_special_tokens=False)
-            ids = e.ids
-            ends = np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))).tolist()
-            for a, b in pairwise([0, *ends]):
-                yield ids[a:b]
+            yield np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+
+    def _hold(self, at: np.ndarray, ids: np.ndarray, number: np.ndarray) -> None:
+        """Keep the ids of the chunks at these places."""
+        while self.end + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.end : self.end + len(ids)] = ids
+        self.first[at] = self.end + np.cumsum(number) - number
+        self.number[at] = number
+        self.end += len(ids)
 
     def _learn(self, chunks: list[bytes]) -> None:
+        """Learn the chunks that have the latest places."""
         if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        pieces = self.pieces
+        before = len(self.first)
+        self.first, self.number = (np.concatenate([x, np.zeros(len(chunks), np.int64)]) for x in (self.first, self.number))
         # A chunk of lower-case ASCII letters is one piece, and as a chunk it is known from now on.
-        split = [
-            t if c.isalpha() and c.islower() else _PIECE.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None
-            for c, t in zip(chunks, texts, strict=True)
-        ]
-        new = list({p for s in split if s.__class__ is list for p in s if p not in pieces})
-        pieces.update(zip(new, self._merged(new), strict=True))
-        whole = self._merged([s for s in split if s.__class__ is str])
-        rest = [t for t, s in zip(texts, split, strict=True) if s is None]
-        others = (e.ids for i in range(0, len(rest), 1024) for e in self.whole.encode_batch(rest[i : i + 1024], add_special_tokens=False))
-        ids: list[int] = []
-        ends = []
-        before = int(self.bounds[-1])
-        for s in split:
-            if s is None:
-                ids += next(others)
-            elif s.__class__ is str:
-                ids += next(whole)
-            else:
-                for p in s:
-                    ids += pieces[p]
-            ends.append(before + len(ids))
-        while before + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[before : before + len(ids)] = ids
-        self.bounds = np.concatenate([self.bounds, np.array(ends, np.int64)])
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text, end id last."""
+        alone = [i for i, c in enumerate(chunks) if c.isalpha() and c.islower()]
+        done = 0
+        for ids, number in self._merged([chunks[i].decode() for i in alone]):
+            self._hold(before + np.array(alone[done : done + len(number)], np.int64), ids, number)
+            done += len(number)
+        rest = sorted(set(range(len(chunks))).difference(alone))
+        texts = [chunks[i].decode("utf-8", "replace") for i in rest]
+        split = [_PIECE.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        pieces = self.pieces
+        new = list({p for s in split if s for p in s if p not in pieces})
+        done = 0
+        for ids, number in self._merged(new):
+            ends = np.cumsum(number).tolist()
+            ids = ids.tolist()
+            pieces.update(zip(new[done : done + len(number)], (ids[a:b] for a, b in pairwise([0, *ends])), strict=True))
+            done += len(number)
+        odd = [t for t, s in zip(texts, split, strict=True) if s is None]
+        others = (e.ids for i in range(0, len(odd), 1024) for e in self.whole.encode_batch(odd[i : i + 1024], add_special_tokens=False))
+        got = [next(others) if s is None else [i for p in s for i in pieces[p]] for s in split]
+        self._hold(before + np.array(rest, np.int64), np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string array without nulls, end id last."""
         if not self.merger:
-            whole = self.whole.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            whole = self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)
             return [np.array([*e.ids, END_ID], np.uint32) for e in whole]
         if len(self.places) > CACHED_CHUNKS:
             self._clear()
         places = self.places
-        split = [_parted(t).split() for t in texts]
-        at = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        parted = _parted(texts)
+        words = parted.flatten().cast(pa.binary()).dictionary_encode()
+        chunks = words.dictionary.to_pylist()
+        place = np.fromiter(map(places.__getitem__, chunks), np.int64, len(chunks))
         new, places.new = places.new, []
         if new:
             self._learn(new)
-        first = self.bounds[at]
-        n = self.bounds[at + 1] - first
+        at = place[words.indices.to_numpy()]
+        first, n = self.first[at], self.number[at]
         before = np.cumsum(n) - n
         ids = self.flat[np.repeat(first - before, n) + np.arange(int(n.sum()))]
-        ends = np.append(before, len(ids))[np.cumsum([len(ws) for ws in split])].tolist()
+        ends = np.append(before, len(ids))[parted.offsets.to_numpy()[1:] - parted.offsets[0].as_py()].tolist()
         out, done = [], 0
         for end in ends:
             out.append(np.append(ids[done:end], np.uint32(END_ID)))
@@ -158,17 +163,16 @@ class Encoder:
         return out
 
 
-def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """A few texts at a time: AT_ONCE of them, or a megabyte."""
-    group, held = [], 0
-    for t in texts:
-        group.append(t)
-        held += len(t)
-        if len(group) == AT_ONCE or held > 1 << 20:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of a few texts at a time: AT_ONCE of them, or GROUP_BYTES."""
+    first = held = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n
+        if i + 1 - first == AT_ONCE or held > GROUP_BYTES:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -197,30 +201,28 @@ def splits_in_pieces(tokenizer: str) -> bool:
 
 def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, part, start (its place among part's tokens), n, ids (binary, of id_type)."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind, dtype, by_piece = d.schema["doc_id"].dataType.simpleString(), id_type(tokenizer), splits_in_pieces(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer, by_piece))
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            row = 0
-            for group in _groups(b.column("text").to_pylist()):
-                ids = encoder.ids(group)
+            for low, high in _groups(b.column("text")):
+                ids = encoder.ids(b.column("text").slice(low, high - low))
                 n = [len(x) for x in ids]
                 start = [at, *accumulate(n, initial=at)][1:-1]
                 at += sum(n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id").slice(row, len(group)),
-                        pa.array([part] * len(group), pa.int32()),
+                        b.column("doc_id").slice(low, high - low),
+                        pa.array([part] * len(n), pa.int32()),
                         pa.array(start, pa.int64()),
                         pa.array(n, pa.int64()),
                         pa.array([x.astype(dtype).tobytes() for x in ids], pa.binary()),
                     ],
                     names=["doc_id", "part", "start", "n", "ids"],
                 )
-                row += len(group)
 
     return d.mapInArrow(run, f"doc_id {kind}, part int, start long, n long, ids binary")
 
