@@ -64,7 +64,7 @@ class Engine:
 
     spark: SparkSession
     root: str | None = None
-    external: dict[str, DataFrame] = field(default_factory=dict)
+    external: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.spark.conf.set("spark.sql.ansi.enabled", "true")
@@ -75,10 +75,17 @@ class Engine:
         self.external[name] = df
 
     def register_parquet(self, folder: str, names: list[str]) -> Engine:
+        """Make Parquet files of a folder read-only tables; each is opened when a statement first names it."""
         for n in names:
-            self.register(n, self.spark.read.parquet(f"{folder}/{n}.parquet"))
+            self.external[n] = lambda n=n: self.spark.read.parquet(f"{folder}/{n}.parquet")
         return self
 
+    def external_table(self, name: str) -> DataFrame:
+        df = self.external[name]
+        if not isinstance(df, DataFrame):
+            df = self.external[name] = df()
+        return df
+
     def session(self) -> Session:
         return Session(self)
 
@@ -164,7 +171,7 @@ class Session:
             if txn is not None and (spec := self.engine.store.table(txn, name)):
                 return Source(self.engine.store.scan(txn, spec), spec.primary_key)
             if name in self.engine.external:
-                return Source(self.engine.external[name])
+                return Source(self.engine.external_table(name))
             raise InvalidInput(f"table {name} does not exist")
 
         return Analyzer(self.engine.spark, source)
