@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; those that lose all they had go."""
-    cut = line_dedup.dedup_lines(docs)
+    cut = line_dedup.dedup_lines(docs, maximal=True)
     n_removed = cut.columns[-1]
     return cut.where((F.col(n_removed) == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 

@@ -10,10 +10,19 @@ covered by two overlapping names of one level. Suffixes that share it form an
 interval of the suffix array whose longest common prefix is at least that
 run; grouping by the name gives the interval, its size and its first suffix
 (smallest doc_id, then line). Every other suffix of the interval starts a
-later copy, and the union of the copies' lines is the maximal repeated run,
-which is deleted. The grouping is a partial aggregate and the join that
-returns to the suffixes is an equi join of two plain tables, which Spark may
-split, so a line that a third of all documents share loads no single task.
+later copy, and the union of the copies' lines is deleted. The grouping is a
+partial aggregate and the join that returns to the suffixes is an equi join of
+two plain tables, which Spark may split, so a line that a third of all
+documents share loads no single task.
+
+These shortest prefixes miss the end of a repeated run where its lines hold
+fewer than min_words words after the last prefix that fits into the run. With
+maximal=True a suffix also has the longer prefixes that end before the
+shortest prefix of the next suffix does, each with a name of its own. A run's
+end is such a prefix of the last suffix that fits, so the union is then the
+maximal repeated runs, against any earlier place (a line that is
+a prefix alone has one with the next line too, for blank lines between them); as the ends of
+successive suffixes only move on, a document has at most three prefixes a line.
 
 Defined cases: null text stays null and has no lines; an empty text stays
 empty; lines are compared after trimming white space; blank lines start no
@@ -45,9 +54,9 @@ def _doubled(column: str, half: int, join: Callable[[Column, Column], Column]) -
     return F.transform(column, lambda x, i: join(x, F.get(F.col(column), i + half)))
 
 
-def suffixes(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per suffix that holds min_words words: doc_id, key, first and last line (in the text), name a and b."""
-    levels = max(0, math.ceil(math.log2(max(1, min_words))))
+def suffixes(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", maximal: bool = False) -> DataFrame:
+    """One row per suffix that holds min_words words (maximal: per prefix of it): doc_id, key, first and last line (in the text), name a and b."""
+    levels = max(0, math.ceil(math.log2(max(2 if maximal else 1, min_words))))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     d = d.select("doc_id", F.xxhash64("text").alias("key"), F.transform(_lines(F.col("text")), lambda s: F.trim(F.regexp_replace(s, r"[\t\r\x0B\f]", " "))).alias("lines"))
     numbered = F.transform("lines", lambda s, i: F.struct(s.alias("s"), i.alias("i")))
@@ -83,8 +92,12 @@ def suffixes(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
         start = F.struct(F.lit(0).alias("len"), F.lit(0).alias("words"))
         return F.aggregate(F.array(*(F.lit(k) for k in range(levels, -1, -1))), start, step, lambda acc: acc["len"] + 1)
 
-    d = d.select("*", F.posexplode(F.transform("at", lambda _, i: need(i))).alias("i", "len"))
+    needs = F.transform("at", lambda _, i: need(i))
+    d = d.select("*", F.posexplode(needs).alias("i", "len"))
     d = d.where(F.col("i") + F.col("len") <= F.size("at"))
+    if maximal:  # the next suffix takes over at its own end; what it needs past the text's end is past it too
+        most = F.greatest(F.col("len"), F.least(F.size("at") - F.col("i"), F.greatest(need(F.col("i") + 1), F.lit(2))))
+        d = d.withColumn("len", F.explode(F.sequence("len", most)))
     d = d.withColumn("k", F.floor(F.log2(F.col("len").cast("double"))).cast("int"))
     second = F.col("i") + F.col("len") - F.pow(F.lit(2), F.col("k")).cast("int")
     name = {c: F.xxhash64("len", F.get(F.get(c, F.col("k")), F.col("i")), F.get(F.get(c, F.col("k")), second)) for c in "ab"}
@@ -112,9 +125,9 @@ def later_copies(s: DataFrame) -> DataFrame:
     return j.select(s["doc_id"], s["key"], s["first"], s["last"])
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", maximal: bool = False) -> DataFrame:
     """docs with text cut, and with n_lines and n_removed (in columns of these names or, where taken, with "_" added)."""
-    runs = later_copies(suffixes(docs, min_words, doc_id, text))
+    runs = later_copies(suffixes(docs, min_words, doc_id, text, maximal))
     runs = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     key, gone, n_lines, n_removed = (fresh(docs, c) for c in ("line_key", "line_runs", "n_lines", "n_removed"))
     left = docs.withColumn(key, F.xxhash64(text))

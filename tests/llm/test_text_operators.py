@@ -60,6 +60,40 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def brute_maximal(rows, least):
+    """Lines of all runs that begin at an earlier place too, of any length from least words up."""
+    docs = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0))
+    lines = [[(i, s) for i, s in enumerate(x.strip(" ") for x in t.split("\n")) if s] for _, t in docs]
+    out = {}
+    for b, (d, t) in enumerate(docs):
+        cut = set()
+        for j in range(len(lines[b])):
+            for a in range(b + 1):
+                for i in range(len(lines[a]) if a < b else j):
+                    n = 0
+                    while i + n < len(lines[a]) and j + n < len(lines[b]) and lines[a][i + n][1] == lines[b][j + n][1]:
+                        n += 1
+                    if n and sum(s.count(" ") + 1 for _, s in lines[b][j : j + n]) >= least:
+                        cut.update(range(lines[b][j][0], lines[b][j + n - 1][0] + 1))
+        out[d] = ("\n".join(s for i, s in enumerate(t.split("\n")) if i not in cut), len(cut))
+    return out
+
+
+def test_line_dedup_finds_maximal_runs(spark):
+    rng = random.Random(6)
+    line = lambda w, n: " ".join(f"{w}{i}" for i in range(n))
+    long, short = line("a", 40), line("b", 15)
+    pool = [line(w, rng.randrange(1, 12)) for w in "abcdefgh"] + ["", "x"]
+    rows = [(1, f"{long}\n{short}\nend"), (2, f"{long}\n{short}"), (3, f"top\n{long}\n\n{short}\nown"), (4, long), (5, f"{long}\nother 5"), (6, f"{long}\nother 5\nmore"), (7, f"{long}\nother 5\nmore\n{short}"), (8, "again\n" * 70)]
+    rows += [(10 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 12)))) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (30, 7, 1):
+        got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs, least, maximal=True).collect()}
+        assert got == brute_maximal(rows, least)
+        if least == 30:
+            assert got[2] == ("", 2) and got[3] == ("top\nown", 3) and got[6][0] == "more" and got[7][0] == short
+
+
 # Chat formatting.
 
 
