@@ -63,9 +63,15 @@ class Best:
 
     def _offer(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.hstack([self.scores[q], scores]), np.hstack([self.found[q], ids])
-        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-        self.scores[q] = np.take_along_axis(scores, order, 1)
-        self.found[q] = np.take_along_axis(ids, order, 1)
+        order = np.lexsort((ids, -scores), axis=1)
+        scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+        again = np.zeros(ids.shape, bool)  # a row that another block had too
+        again[:, 1:] = (ids[:, 1:] == ids[:, :-1]) & (scores[:, 1:] == scores[:, :-1]) & (ids[:, 1:] != _NO_ID)
+        if again.any():
+            scores[again], ids[again] = _NO_SCORE, _NO_ID
+            order = np.argsort(again, axis=1, kind="stable")
+            scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+        self.scores[q], self.found[q] = scores[:, : self.k], ids[:, : self.k]
 
     def _score(self, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, exact: bool) -> None:
         """Score all of rows for queries q. ids: the k + 1 smallest ids of each row, ascending, sorted by the first."""

@@ -238,6 +238,14 @@ def test_top_k_edges(spark, monkeypatch):
     assert [r.vec_id for r in topk.top_k(huge, huge.where("vec_id = 0"), 2).orderBy("rank").collect()] == [1, 2]
 
 
+def test_top_k_counts_rows_repeated_across_blocks_once(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 4)
+    rows = [(0, [1.0]), (1, [9.0]), (2, [5.0]), (3, [4.0]), (1, [9.0]), (4, [3.0]), (2, [5.0]), (5, [2.0]), (1, [9.0]), (2, [5.0]), (6, [8.0]), (7, [0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = topk.top_k(df, df.where("vec_id = 0"), 4).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in got] == [(1, 1), (2, 6), (3, 2), (4, 3)]
+
+
 # The pipeline.
 
 
