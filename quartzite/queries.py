@@ -199,7 +199,7 @@ def _after(*statements: str, load: bool = True, then: str = "SELECT * FROM accou
     return run
 
 
-def _two_sessions(first: list[str], second: list[str], third: list[str], read_first: bool) -> Callable[[SparkSession, str], DataFrame]:
+def _two_sessions(first: list[str], second: list[str], third: list[str], read_first: bool, then: str = "SELECT id, balance FROM accounts WHERE id <= 20") -> Callable[[SparkSession, str], DataFrame]:
     """Statements of one session, then of another, then of the first; what a session then reads."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +208,7 @@ def _two_sessions(first: list[str], second: list[str], third: list[str], read_fi
         for session, statements in ((one, first), (two, second), (one, third)):
             for s in statements:
                 session.execute(s)
-        return (one if read_first else two).sql("SELECT id, balance FROM accounts WHERE id <= 20")
+        return (one if read_first else two).sql(then)
 
     return run
 
@@ -278,6 +278,8 @@ def show_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, [("accounts", _accounts(spark, sf_dir, load=False).table("accounts").show_create())])
 
 
+#: The queries *_whole read every row back, where those of the plain names read ids up to 20.
+_WHOLE = "SELECT id, balance FROM accounts"
 _SMALL = "SELECT CAST(1 AS BIGINT) AS id, 'a' AS name, CAST(NULL AS BIGINT) AS nation, CAST(1.5 AS DOUBLE) AS balance, 'none' AS segment"
 WRITES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "insert_rows": (_after("INSERT INTO accounts VALUES (900001, 'new', 1 + 1, 2.5, 'X'), (900002, 'newer', NULL, -1.0, NULL)"), f"{LOADED} UNION ALL SELECT 900001, 'new', 2, 2.5, 'X' UNION ALL SELECT 900002, 'newer', NULL, -1.0, NULL"),
@@ -292,6 +294,10 @@ WRITES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "rollback_invisible": (_two_sessions(["BEGIN", "UPDATE accounts SET balance = 0.5 WHERE id < 10"], [], ["ROLLBACK"], False), f"SELECT id, balance FROM ({LOADED}) WHERE id <= 20"),
     "snapshot_read": (_two_sessions(["BEGIN READ ONLY"], ["UPDATE accounts SET balance = 0.5"], [], True), f"SELECT id, balance FROM ({LOADED}) WHERE id <= 20"),
     "read_own_writes": (_two_sessions(["BEGIN", "DELETE FROM accounts WHERE id < 5", "UPDATE accounts SET balance = 0.5 WHERE id = 6"], [], [], True), f"SELECT id, CASE WHEN id = 6 THEN 0.5 ELSE balance END AS balance FROM ({LOADED}) WHERE id <= 20 AND id >= 5"),
+    "commit_visible_whole": (_two_sessions(["BEGIN", "UPDATE accounts SET balance = 0.5 WHERE id < 10"], [], ["COMMIT"], False, _WHOLE), f"SELECT id, CASE WHEN id < 10 THEN 0.5 ELSE balance END AS balance FROM ({LOADED})"),
+    "rollback_invisible_whole": (_two_sessions(["BEGIN", "UPDATE accounts SET balance = 0.5 WHERE id < 10"], [], ["ROLLBACK"], False, _WHOLE), f"SELECT id, balance FROM ({LOADED})"),
+    "snapshot_read_whole": (_two_sessions(["BEGIN READ ONLY"], ["UPDATE accounts SET balance = 0.5"], [], True, _WHOLE), f"SELECT id, balance FROM ({LOADED})"),
+    "read_own_writes_whole": (_two_sessions(["BEGIN", "DELETE FROM accounts WHERE id < 5", "UPDATE accounts SET balance = 0.5 WHERE id = 6"], [], [], True, _WHOLE), f"SELECT id, CASE WHEN id = 6 THEN 0.5 ELSE balance END AS balance FROM ({LOADED}) WHERE id >= 5"),
     "as_of_read": (as_of_read, LOADED),
     "explain_plan": (explain_plan, None),
     "constraint_errors": (constraint_errors, None),

@@ -46,3 +46,12 @@ def test_registry(spark, name):
     got = sorted(([_norm(r[c]) for c in columns] for r in df.collect()), key=str)
     assert sorted(want.columns) == columns
     assert got == sorted(([_norm(r[want.columns.index(c)]) for c in columns] for r in want.fetchall()), key=str)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["commit_visible_whole", "rollback_invisible_whole", "snapshot_read_whole", "read_own_writes_whole"])
+def test_sessions_read_the_whole_table(spark, name):
+    test_registry(spark, name)
+    gone = "c_custkey < 5" if name == "read_own_writes_whole" else "FALSE"
+    rows = duckdb.sql(f"SELECT count(*) FROM '{SF}/customer.parquet' WHERE NOT ({gone})").fetchall()[0][0]
+    assert queries.queries()[name](spark, SF).count() == rows > 20
