@@ -3,7 +3,8 @@
 A list is dated entries: on listed_at, key is added with an action ("block" or
 "allow") or taken off ("remove"). The next entry of the same key ends it, so
 entries become validity intervals [from, until). A key is a domain, which holds
-for its subdomains too, or a domain with leading path segments. Each capture
+for its subdomains too, or a domain with any number of leading path segments,
+whose case counts. Each capture
 is matched, as of its fetch time, with every entry active then whose key its
 address has; the entry with the longest key decides.
 
@@ -26,23 +27,28 @@ from pyspark.sql import functions as F
 
 from .common import fresh, saved
 
-SEGMENTS = 2
-
 
 def intervals(entries: DataFrame, key: str = "key", listed_at: str = "listed_at", action: str = "action") -> DataFrame:
     """key, action, from_at, until_at (null: still active)."""
-    e = entries.select(F.lower(F.col(key)).alias("key"), F.col(listed_at).alias("from_at"), F.lower(F.col(action)).alias("action")).dropna()
+    host = F.substring_index(key, "/", 1)  # hosts are of any case, paths are not
+    whole = F.concat(F.lower(host), F.substr(F.col(key), F.char_length(host) + F.lit(1)))
+    e = entries.select(whole.alias("key"), F.col(listed_at).alias("from_at"), F.lower(F.col(action)).alias("action")).dropna()
     e = e.groupBy("key", "from_at").agg(F.max("action").alias("action"))
     e = e.withColumn("until_at", F.lead("from_at").over(Window.partitionBy("key").orderBy("from_at")))
     return e.where(F.col("action") != "remove")
 
 
-def keys(url: Column) -> Column:
-    """The keys of an address: every domain suffix of two labels or more, alone and with up to SEGMENTS path segments."""
+def depth(intervals: DataFrame) -> int:
+    """Path segments of the deepest key."""
+    return intervals.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
+
+
+def keys(url: Column, segments: int) -> Column:
+    """The keys of an address: every domain suffix of two labels or more, alone and with up to so many path segments."""
     rest = F.regexp_replace(F.trim(url), r"^(?i)[a-z][a-z0-9+.-]*://", "")
     rest = F.regexp_replace(rest, r"[?#].*$", "")
     host = F.lower(F.regexp_replace(F.regexp_replace(F.substring_index(rest, "/", 1), r"^.*@", ""), r"(:\d*)?\.?$", ""))
-    path = F.filter(F.slice(F.split(rest, "/"), 2, SEGMENTS), lambda s: s != "")
+    path = F.slice(F.filter(F.slice(F.split(rest, "/"), F.lit(2), F.size(F.split(rest, "/"))), lambda s: s != ""), 1, segments)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), ".")))
@@ -54,8 +60,8 @@ def keys(url: Column) -> Column:
 def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
     """captures with n_active (active entries that match), list_key and list_action (of the longest) and blocked."""
     c = captures.select(F.col(url).alias("u"), F.col(fetched_at).alias("t")).dropna().distinct()
-    k = c.select("u", "t", F.explode(F.array_distinct(keys(F.col("u")))).alias("key"))
     e = saved(intervals(entries), "intervals")  # plain tables on both sides, so that Spark may split a host's join
+    k = c.select("u", "t", F.explode(F.array_distinct(keys(F.col("u"), depth(e)))).alias("key"))
     m = k.join(e, (k["key"] == e["key"]) & (k["t"] >= e["from_at"]) & (e["until_at"].isNull() | (k["t"] < e["until_at"])))
     best = F.max(F.struct(F.char_length(k["key"]).alias("n"), k["key"].alias("key"), e["action"].alias("action")))
     v = saved(m.groupBy("u", "t").agg(F.count(F.lit(1)).alias("n"), best.alias("best")), "verdicts")

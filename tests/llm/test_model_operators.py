@@ -126,6 +126,14 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(captures.limit(0), e).count() == 0 and url_filter.filter_urls(captures, e.limit(0)).where("blocked_").count() == 0
 
 
+def test_url_filter_matches_paths_of_any_depth_and_case(spark):
+    day = datetime.date(2024, 1, 1)
+    e = spark.createDataFrame([(k, day, a) for k, a in (("Example.com/a/b/c", "block"), ("example.com/a/b/c/d/e", "allow"), ("x.org/Up", "block"))], "key string, listed_at date, action string")
+    want = {"http://example.com/a/b": False, "http://example.com/a/b/c": True, "http://www.example.com/a/b/c/d?q": True, "http://example.com/a/b/c/d/e/f": False, "http://X.org/Up/1": True, "http://x.org/up": False, "http://x.org/": False}
+    captures = spark.createDataFrame([(u, day) for u in want], "url string, fetched_at date")
+    assert {r.url: r.blocked for r in url_filter.filter_urls(captures, e).collect()} == want
+
+
 # WARC.
 
 
