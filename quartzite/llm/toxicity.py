@@ -27,6 +27,7 @@ import bisect
 import json
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4000, 8000, 2000
-MIN_FUZZY, CACHED_WORDS = 5, 200_000
+MIN_FUZZY, CACHED_WORDS, CACHED_BYTES = 5, 200_000, 80
 WINDOW, QUOTED, ADDRESSED = 4, 0.3, 1.5
 
 #: Insults that every model starts from.
@@ -49,10 +50,15 @@ ADDRESSING = frozenset(b"you your yourself ur du dein deine dich tu te ton toi u
 
 #: ASCII letters and digits stay, other ASCII becomes a space, other bytes stay; texts are lower-cased before.
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_QUOTES = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“\n]{1,400}“")
+#: Spaces and punctuation beyond ASCII, which part words too.
+_APART = re.compile("[" + "".join(chr(c) for c in range(128, 0x10000) if unicodedata.category(chr(c))[0] in "ZP") + "]")
+#: A quotation ends in its line.
+_QUOTES = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»|„[^“\n]+“")
 
 
 def words(text: str) -> list[bytes]:
+    if not text.isascii():
+        text = _APART.sub(" ", text)
     return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
@@ -105,7 +111,7 @@ class Lexicon:
             pass
         best: tuple[int, float, str] | None = None
         states = self.start
-        text = word.decode("utf-8", "replace") if len(word) <= 80 else ""
+        text = word.decode("utf-8", "replace")
         for i, ch in enumerate(text):
             states = self._move(states, ch)
             if not states:
@@ -120,7 +126,9 @@ class Lexicon:
             self.known.clear()
         if len(self.moves) >= CACHED_WORDS:
             self.moves.clear()
-        found = self.known[word] = best and (best[2], best[0])
+        found = best and (best[2], best[0])
+        if len(word) <= CACHED_BYTES:
+            self.known[word] = found
         return found
 
     def features(self, text: str) -> list[float]:
@@ -158,7 +166,7 @@ def _quoted(text: str, found: list[bytes]) -> list[tuple[int, int]]:
     lower = text.lower()
     if len(lower) != len(text):
         text = lower
-    starts = [m.start() for m in re.finditer(r"(?:[^\x00-\x7f]|[0-9a-z])+", lower)]
+    starts = [m.start() for m in re.finditer(r"(?:[^\x00-\x7f]|[0-9a-z])+", _APART.sub(" ", lower))]
     return [(bisect.bisect_left(starts, m.start()), bisect.bisect_left(starts, m.end())) for m in _QUOTES.finditer(text)]
 
 

@@ -60,6 +60,15 @@ def test_toxicity_lexicon():
     assert abuse[0] > lexicon.features("an idiot")[0] > quote[0] and quote[-1] > 0 and lexicon.features("he said idiot")[-1] > 0
 
 
+def test_toxicity_sees_long_and_joined_words_and_long_quotations():
+    lexicon = toxicity._lexicon({"blurk*": 3.0})
+    assert lexicon.look(b"blurk" + b"x" * 100) == ("blurk*", 0)
+    assert toxicity.words("an\u00a0idiot\u2014you\u3002Öl") == [b"an", b"idiot", b"you", "öl".encode()]
+    long = "ta " * 300
+    assert lexicon.features(f'"{long} idiot"')[-1] > 0 and lexicon.features(f"“{long}\u00a0idiot” ")[-1] > 0
+    assert lexicon.features(f'"{long}\n idiot"')[-1] == 0
+
+
 def test_levenshtein_is_brute_force():
     def distance(a, b):
         row = list(range(len(b) + 1))
