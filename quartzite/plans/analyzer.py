@@ -195,8 +195,8 @@ class Analyzer:
         if order:
             df = df.orderBy(*order)
         if offset:
-            df = df.offset(min(offset, 2**31 - 1))
-        if limit is not None and limit < 2**31:
+            df = df.limit(0) if self._beyond(df, offset, "OFFSET") else df.offset(offset)
+        if limit is not None and not self._beyond(df, limit, "LIMIT"):
             df = df.limit(limit)
         return df.select(*(F.col(f.internal).alias(label if label is not None else "?") for f, label in zip(out, labels, strict=True)))
 
@@ -288,6 +288,15 @@ class Analyzer:
         return n
 
 
+    def _beyond(self, df: DataFrame, n: int, what: str) -> bool:
+        """Whether n, more than Spark can count off, is no less than all the rows there are; an error if it cuts them."""
+        if n < 2**31:
+            return False
+        if df.count() > n:
+            raise InvalidInput(f"{what} {n} of a larger result is not supported")
+        return True
+
+
 @dataclass
 class _After(Scope):
     """A scope in which an alias hides columns of its name, unless these are qualified."""

@@ -17,13 +17,16 @@ from .session import Engine, Session
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Where urgent orders are still open: by nation, how many, whose is the dearest, and how rich the customers are.
 FLAGSHIP = """
-SELECT c.c_name, n.n_name AS nation, o.o_orderpriority, o.o_totalprice
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey,
-     nation n JOIN supplier good ON good.s_nationkey = n.n_nationkey AND good.s_acctbal >= 5000
-WHERE c.c_nationkey = n.n_nationkey
-GROUP BY c.c_name, n.n_name, o.o_orderpriority, o.o_totalprice, o.o_orderkey
-ORDER BY o.o_totalprice DESC, o.o_orderkey ASC
+SELECT r.r_name AS region, n.n_name AS nation, COUNT(*) AS urgent, MAX(o.o_totalprice) AS dearest, MIN(c.c_acctbal) AS poorest
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+     JOIN nation n ON n.n_nationkey = c.c_nationkey
+     JOIN region r ON r.r_regionkey = n.n_regionkey
+WHERE o.o_orderpriority = '1-URGENT' AND o.o_orderstatus = 'O' AND c.c_acctbal > 0
+GROUP BY r.r_name, n.n_name
+HAVING COUNT(*) > 1
+ORDER BY urgent DESC, nation
 """
 
 SAME = None
@@ -199,7 +202,7 @@ def _after(*statements: str, load: bool = True, then: str = "SELECT * FROM accou
     return run
 
 
-def _two_sessions(first: list[str], second: list[str], third: list[str], read_first: bool, then: str = "SELECT id, balance FROM accounts WHERE id <= 20") -> Callable[[SparkSession, str], DataFrame]:
+def _two_sessions(first: list[str], second: list[str], third: list[str], read_first: bool, then: str = "SELECT id, balance FROM accounts") -> Callable[[SparkSession, str], DataFrame]:
     """Statements of one session, then of another, then of the first; what a session then reads."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,8 +281,6 @@ def show_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, [("accounts", _accounts(spark, sf_dir, load=False).table("accounts").show_create())])
 
 
-#: The queries *_whole read every row back, where those of the plain names read ids up to 20.
-_WHOLE = "SELECT id, balance FROM accounts"
 _SMALL = "SELECT CAST(1 AS BIGINT) AS id, 'a' AS name, CAST(NULL AS BIGINT) AS nation, CAST(1.5 AS DOUBLE) AS balance, 'none' AS segment"
 WRITES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "insert_rows": (_after("INSERT INTO accounts VALUES (900001, 'new', 1 + 1, 2.5, 'X'), (900002, 'newer', NULL, -1.0, NULL)"), f"{LOADED} UNION ALL SELECT 900001, 'new', 2, 2.5, 'X' UNION ALL SELECT 900002, 'newer', NULL, -1.0, NULL"),
@@ -290,14 +291,10 @@ WRITES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "update_pk": (_after("UPDATE accounts SET id = id - 1"), f"SELECT id - 1 AS id, name, nation, balance, segment FROM ({LOADED})"),
     "delete_where": (_after("DELETE FROM accounts WHERE balance < 0 OR nation % 2 = 1"), f"SELECT * FROM ({LOADED}) WHERE NOT (balance < 0 OR nation % 2 = 1)"),
     "delete_all": (_after("DELETE FROM accounts"), f"SELECT * FROM ({LOADED}) WHERE FALSE"),
-    "commit_visible": (_two_sessions(["BEGIN", "UPDATE accounts SET balance = 0.5 WHERE id < 10"], [], ["COMMIT"], False), f"SELECT id, CASE WHEN id < 10 THEN 0.5 ELSE balance END AS balance FROM ({LOADED}) WHERE id <= 20"),
-    "rollback_invisible": (_two_sessions(["BEGIN", "UPDATE accounts SET balance = 0.5 WHERE id < 10"], [], ["ROLLBACK"], False), f"SELECT id, balance FROM ({LOADED}) WHERE id <= 20"),
-    "snapshot_read": (_two_sessions(["BEGIN READ ONLY"], ["UPDATE accounts SET balance = 0.5"], [], True), f"SELECT id, balance FROM ({LOADED}) WHERE id <= 20"),
-    "read_own_writes": (_two_sessions(["BEGIN", "DELETE FROM accounts WHERE id < 5", "UPDATE accounts SET balance = 0.5 WHERE id = 6"], [], [], True), f"SELECT id, CASE WHEN id = 6 THEN 0.5 ELSE balance END AS balance FROM ({LOADED}) WHERE id <= 20 AND id >= 5"),
-    "commit_visible_whole": (_two_sessions(["BEGIN", "UPDATE accounts SET balance = 0.5 WHERE id < 10"], [], ["COMMIT"], False, _WHOLE), f"SELECT id, CASE WHEN id < 10 THEN 0.5 ELSE balance END AS balance FROM ({LOADED})"),
-    "rollback_invisible_whole": (_two_sessions(["BEGIN", "UPDATE accounts SET balance = 0.5 WHERE id < 10"], [], ["ROLLBACK"], False, _WHOLE), f"SELECT id, balance FROM ({LOADED})"),
-    "snapshot_read_whole": (_two_sessions(["BEGIN READ ONLY"], ["UPDATE accounts SET balance = 0.5"], [], True, _WHOLE), f"SELECT id, balance FROM ({LOADED})"),
-    "read_own_writes_whole": (_two_sessions(["BEGIN", "DELETE FROM accounts WHERE id < 5", "UPDATE accounts SET balance = 0.5 WHERE id = 6"], [], [], True, _WHOLE), f"SELECT id, CASE WHEN id = 6 THEN 0.5 ELSE balance END AS balance FROM ({LOADED}) WHERE id >= 5"),
+    "commit_visible": (_two_sessions(["BEGIN", "UPDATE accounts SET balance = 0.5 WHERE id < 10"], [], ["COMMIT"], False), f"SELECT id, CASE WHEN id < 10 THEN 0.5 ELSE balance END AS balance FROM ({LOADED})"),
+    "rollback_invisible": (_two_sessions(["BEGIN", "UPDATE accounts SET balance = 0.5 WHERE id < 10"], [], ["ROLLBACK"], False), f"SELECT id, balance FROM ({LOADED})"),
+    "snapshot_read": (_two_sessions(["BEGIN READ ONLY"], ["UPDATE accounts SET balance = 0.5"], [], True), f"SELECT id, balance FROM ({LOADED})"),
+    "read_own_writes": (_two_sessions(["BEGIN", "DELETE FROM accounts WHERE id < 5", "UPDATE accounts SET balance = 0.5 WHERE id = 6"], [], [], True), f"SELECT id, CASE WHEN id = 6 THEN 0.5 ELSE balance END AS balance FROM ({LOADED}) WHERE id >= 5"),
     "as_of_read": (as_of_read, LOADED),
     "explain_plan": (explain_plan, None),
     "constraint_errors": (constraint_errors, None),

@@ -145,3 +145,12 @@ def test_plans_push_filters_and_prune_columns(spark, tmp_path):
     assert "EqualTo(id,3)" in text and "GreaterThan(x,2.0)" in text and "ReadSchema: struct<id:bigint,k:bigint,x:double>" in text
     join = explain(engine.session().sql("SELECT a.id FROM t a JOIN t b ON a.x = b.x"))
     assert "NestedLoop" not in join and "Cartesian" not in join
+
+
+def test_limits_beyond_32_bits(spark):
+    engine = Engine(spark)
+    engine.register("t", spark.range(5).withColumnRenamed("id", "n"))
+    s = engine.session()
+    assert sorted(s.execute("SELECT n FROM t LIMIT 3000000000").rows()) == [(i,) for i in range(5)]
+    assert s.execute("SELECT n FROM t ORDER BY n OFFSET 2147483648").rows() == []
+    assert s.execute("SELECT n FROM t ORDER BY n LIMIT 9000000000 OFFSET 3").rows() == [(3,), (4,)]

@@ -49,9 +49,9 @@ def test_registry(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["commit_visible_whole", "rollback_invisible_whole", "snapshot_read_whole", "read_own_writes_whole"])
+@pytest.mark.parametrize("name", ["commit_visible", "rollback_invisible", "snapshot_read", "read_own_writes"])
 def test_sessions_read_the_whole_table(spark, name):
     test_registry(spark, name)
-    gone = "c_custkey < 5" if name == "read_own_writes_whole" else "FALSE"
+    gone = "c_custkey < 5" if name == "read_own_writes" else "FALSE"
     rows = duckdb.sql(f"SELECT count(*) FROM '{SF}/customer.parquet' WHERE NOT ({gone})").fetchall()[0][0]
     assert queries.queries()[name](spark, SF).count() == rows > 20
