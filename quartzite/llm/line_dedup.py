@@ -1,28 +1,31 @@
-"""Line dedup: repeated runs of lines, found by prefix doubling, lose their later copies.
-
-Every non-blank line of every document starts a suffix of that document's
-sequence of line identifiers. Prefix doubling names the first 2^k lines of a
-suffix from two names of 2^(k-1) lines; as no suffix leaves its document, all
-doubling rounds run inside the document's row and need no exchange. Names are
-128-bit hashes of the lines they cover, so equal names mean equal runs in any
-partition. The shortest prefix of a suffix that holds min_words words is
-covered by two overlapping names of one level. Suffixes that share it form an
-interval of the suffix array whose longest common prefix is at least that
-run; grouping by the name gives the interval, its size and its first suffix
-(smallest doc_id, then line). Every other suffix of the interval starts a
-later copy, and the union of the copies' lines is deleted. The grouping is a
-partial aggregate and the join that returns to the suffixes is an equi join of
-two plain tables, which Spark may split, so a line that a third of all
-documents share loads no single task.
-
-These shortest prefixes miss the end of a repeated run where its lines hold
-fewer than min_words words after the last prefix that fits into the run. With
-maximal=True a suffix also has the longer prefixes that end before the
-shortest prefix of the next suffix does, each with a name of its own. A run's
-end is such a prefix of the last suffix that fits, so the union is then the
-maximal repeated runs, against any earlier place (a line that is
-a prefix alone has one with the next line too, for blank lines between them); as the ends of
-successive suffixes only move on, a document has at most three prefixes a line.
+"""Line dedup: a suffix array of the documents' lines by distributed prefix doubling; repeated runs lose their later copies.
+
+Non-blank lines have identifiers, and every line starts a suffix of its
+document's sequence of them. Round 0 ranks suffixes by their first line, round
+k by their first 2^k lines: the pair (rank of the first half, rank of the half
+that starts 2^(k-1) lines on) is formed by a window over the document, distinct
+pairs are range-partitioned and sorted, and their place in that order, which
+monotonically_increasing_id() numbers over all partitions, is the rank. An
+equi join brings it back to the suffixes. A suffix whose pair no other shares
+is told apart and leaves, so rounds shrink; they end when nobody is left, or
+when 2^k lines are more than any prefix that is looked for.
+
+An interval of the suffix array with a common prefix of n lines is a set of
+suffixes with the same rank pair for the first n lines: the rank of the first
+2^k, and of the 2^k that end with line n. Of each suffix, the prefixes looked
+for are the shortest with min_words words or more, and the longer ones that end
+before the shortest of the next suffix does; the end of any longer repeated run
+is such a prefix of the last suffix that fits into it, so the union of these
+is that of all maximal repeated runs (a line that is a prefix alone has
+one with the next line too, for blank lines between them). A partial aggregate
+gives each interval's size and first place (smallest doc_id, then line); all
+its other suffixes start later copies, whose lines are deleted.
+
+A line or passage that a third of all documents share is one row of the tables
+of ranks and intervals, found by partial aggregates; the joins that return to
+the suffixes have plain tables on both sides, which Spark may split. What is
+grouped by document is no more than the document. Every round is written to the
+shared folder.
 
 Defined cases: null text stays null and has no lines; an empty text stays
 empty; lines are compared after trimming white space; blank lines start no
@@ -35,9 +38,9 @@ empty table; other columns are carried, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, saved
@@ -49,95 +52,133 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _doubled(column: str, half: int, join: Callable[[Column, Column], Column]) -> Column:
-    """Entry i of a level from entries i and i + half (null past the end) of the level below."""
-    return F.transform(column, lambda x, i: join(x, F.get(F.col(column), i + half)))
+def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, key (hash of the text), lines (the non-blank ones: at, words, and a 128-bit identifier a, b)."""
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    trimmed = F.transform(_lines(F.col("text")), lambda s, i: F.struct(F.trim(F.regexp_replace(s, r"[\t\r\x0B\f]", " ")).alias("s"), i.alias("at")))
 
+    def line(p: Column) -> Column:
+        words = F.char_length(p["s"]) - F.char_length(F.replace(p["s"], F.lit(" "), F.lit(""))) + 1
+        return F.struct(p["at"].alias("at"), words.cast("int").alias("words"), F.xxhash64(F.lit(0x51), p["s"]).alias("a"), F.xxhash64(F.lit(0xA7C3), p["s"]).alias("b"))
 
-def suffixes(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", maximal: bool = False) -> DataFrame:
-    """One row per suffix that holds min_words words (maximal: per prefix of it): doc_id, key, first and last line (in the text), name a and b."""
-    levels = max(0, math.ceil(math.log2(max(2 if maximal else 1, min_words))))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    d = d.select("doc_id", F.xxhash64("text").alias("key"), F.transform(_lines(F.col("text")), lambda s: F.trim(F.regexp_replace(s, r"[\t\r\x0B\f]", " "))).alias("lines"))
-    numbered = F.transform("lines", lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    d = d.select("doc_id", "key", F.filter(numbered, lambda p: p["s"] != "").alias("lines"))
-    words = F.transform(
-        "lines",
-        lambda p: (F.char_length(p["s"]) - F.char_length(F.replace(p["s"], F.lit(" "), F.lit(""))) + 1).cast("int"),
-    )
-    d = d.select(
-        "doc_id",
-        "key",
-        F.transform("lines", lambda p: p["i"]).alias("at"),
-        words.alias("words"),
-        F.transform("lines", lambda p: F.xxhash64(F.lit(0x51), p["s"])).alias("a0"),
-        F.transform("lines", lambda p: F.xxhash64(F.lit(0xA7C3), p["s"])).alias("b0"),
-    )
-    d = d.withColumn("w0", F.col("words"))
-    for k in range(1, levels + 1):
-        for c in "ab":
-            d = d.withColumn(f"{c}{k}", _doubled(f"{c}{k - 1}", 1 << (k - 1), F.xxhash64))
-        d = d.withColumn(f"w{k}", _doubled(f"w{k - 1}", 1 << (k - 1), lambda x, y: x + F.coalesce(y, F.lit(0))))
-    d = d.select("doc_id", "key", "at", *(F.array(*(F.col(f"{c}{k}") for k in range(levels + 1))).alias(c) for c in "abw"))
+    return d.select("doc_id", F.xxhash64("text").alias("key"), F.transform(F.filter(trimmed, lambda p: p["s"] != ""), line).alias("lines"))
+
+
+def _doubled(sums: Column, half: int) -> Column:
+    """Words of the 2 * half lines from each place on, from those of half lines (nothing past the end)."""
+    return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i + half), F.lit(0)))
+
+
+def ranks(pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs that occur more than once, with their rank in sorted order (gaps between ranks mean nothing)."""
+    a, b = pairs.columns
+    shared = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(a, b)
+    return saved(shared.repartitionByRange(a, b).sortWithinPartitions(a, b).withColumn("rank", F.monotonically_increasing_id()), name)
+
+
+def first_ranks(lines: DataFrame, min_words: int) -> DataFrame:
+    """Round 0: the suffixes whose first line is repeated, in stretches of repeated lines that hold min_words words or more.
+
+    doc_id, key, j (place among the document's lines), first (line in the text), least (lines of the shortest prefix),
+    ends (last line, in the text, of this prefix and of each longer one), rank.
+    """
+    levels = max(1, math.ceil(math.log2(max(2, min_words))))
+    each = lines.select("doc_id", "key", F.posexplode("lines").alias("j", "l")).select("doc_id", "key", "j", "l.*")
+    known = each.join(ranks(each.select("a", "b"), "line-ranks"), ["a", "b"]).select("doc_id", "key", "j", "at", "words", "rank")
+    gaps = known.withColumn("stretch", F.col("j") - F.dense_rank().over(Window.partitionBy("doc_id", "key").orderBy("j")))
+    s = gaps.groupBy("doc_id", "key", "stretch").agg(F.array_sort(F.collect_set(F.struct("j", "at", "words", "rank"))).alias("l"))
+    s = s.where(F.aggregate("l", F.lit(0).cast("long"), lambda n, x: n + x["words"]) >= min_words)
+    s = s.withColumn("w0", F.transform("l", lambda x: x["words"]))
+    for k in range(levels):
+        s = s.withColumn(f"w{k + 1}", _doubled(F.col(f"w{k}"), 1 << k))
+    s = s.withColumn("w", F.array(*(F.col(f"w{k}") for k in range(levels + 1))))
 
     def need(i: Column) -> Column:
         """Lines that suffix i needs: from the largest power of two down, take a block while the words fall short."""
 
         def step(acc: Column, k: Column) -> Column:
             words = acc["words"] + F.coalesce(F.get(F.get("w", k), i + acc["len"]), F.lit(0))
-            block = F.pow(F.lit(2), k).cast("int")
-            taken = F.struct((acc["len"] + block).alias("len"), words.alias("words"))
+            taken = F.struct((acc["len"] + F.pow(F.lit(2), k).cast("int")).alias("len"), words.alias("words"))
             return F.when(words < min_words, taken).otherwise(acc)
 
         start = F.struct(F.lit(0).alias("len"), F.lit(0).alias("words"))
         return F.aggregate(F.array(*(F.lit(k) for k in range(levels, -1, -1))), start, step, lambda acc: acc["len"] + 1)
 
-    needs = F.transform("at", lambda _, i: need(i))
-    d = d.select("*", F.posexplode(needs).alias("i", "len"))
-    d = d.where(F.col("i") + F.col("len") <= F.size("at"))
-    if maximal:  # the next suffix takes over at its own end; what it needs past the text's end is past it too
-        most = F.greatest(F.col("len"), F.least(F.size("at") - F.col("i"), F.greatest(need(F.col("i") + 1), F.lit(2))))
-        d = d.withColumn("len", F.explode(F.sequence("len", most)))
-    d = d.withColumn("k", F.floor(F.log2(F.col("len").cast("double"))).cast("int"))
-    second = F.col("i") + F.col("len") - F.pow(F.lit(2), F.col("k")).cast("int")
-    name = {c: F.xxhash64("len", F.get(F.get(c, F.col("k")), F.col("i")), F.get(F.get(c, F.col("k")), second)) for c in "ab"}
-    return d.select(
-        "doc_id",
-        "key",
-        F.get(F.col("at"), F.col("i")).alias("first"),
-        F.get(F.col("at"), F.col("i") + F.col("len") - 1).alias("last"),
-        name["a"].alias("a"),
-        name["b"].alias("b"),
-    )
-
-
-def intervals(s: DataFrame) -> DataFrame:
-    """Intervals of two suffixes or more, written down: name a and b, their number, and the place of the first."""
+    s = s.withColumn("needs", F.transform("l", lambda _, i: need(i)))
+    size = F.size("l")
+
+    def suffix(x: Column, i: Column) -> Column:
+        least = F.get("needs", i)
+        most = F.greatest(least, F.least(size - i, F.greatest(F.coalesce(F.get("needs", i + 1), least), F.lit(2))))
+        ends = F.when(i + least <= size, F.transform(F.sequence(least, most), lambda n: F.get("l", i + n - 1)["at"]))
+        return F.struct(x["j"].alias("j"), x["at"].alias("first"), least.alias("least"), ends.alias("ends"), x["rank"].alias("rank"))
+
+    return s.select("doc_id", "key", F.inline(F.transform("l", suffix)))
+
+
+def _prefixes(k: int) -> Column:
+    """Names of the wanted prefixes of 2^k to 2^(k+1) - 1 lines, from the ranks (following) of the 2^k next suffixes."""
+    block = 1 << k
+    low, high = F.greatest("least", F.lit(block)), F.least(F.col("least") + F.size("ends") - 1, F.lit(2 * block - 1))
+
+    def name(n: Column) -> Column:
+        then = F.get("following", n - block)
+        return F.struct(n.alias("n"), F.get("ends", n - F.col("least")).alias("last"), F.col("rank").alias("a"), F.when(then["j"] == F.col("j") + n - block, then["rank"]).alias("b"))
+
+    return F.when(F.col("ends").isNotNull() & (low <= high), F.filter(F.transform(F.sequence(low, high), name), lambda p: p["b"].isNotNull()))
+
+
+def prefixes(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The wanted prefixes whose halves are shared: doc_id, key, first and last line in the text, and the name (n, a, b): lines and two ranks."""
+    t = first_ranks(saved(line_table(docs, doc_id, text), "lines"), min_words)
+    found, k = [], 0
+    while True:
+        block = 1 << k
+        place = Window.partitionBy("doc_id", "key").orderBy("j")
+        then = F.lead(F.struct("j", "rank"), block).over(place)
+        t = t.withColumn("following", F.collect_list(F.struct("j", "rank")).over(place.rowsBetween(0, block - 1))).withColumn("then", then)
+        other = F.when(F.col("then.j") == F.col("j") + block, F.col("then.rank"))
+        t = saved(t.select("doc_id", "key", "j", "first", "least", "ends", "rank", other.alias("other"), _prefixes(k).alias("names")), "suffixes")
+        found.append(t.where(F.size("names") > 0).select("doc_id", "key", "first", F.inline("names")))
+        if 2 * block > max(2, min_words):
+            break
+        pairs = t.where("other IS NOT NULL").select("doc_id", "key", "j", "first", "least", "ends", F.col("rank").alias("a"), F.col("other").alias("b"))
+        named = ranks(pairs.select("a", "b"), "ranks")
+        if named.isEmpty():
+            break
+        t = pairs.join(named, ["a", "b"]).select("doc_id", "key", "j", "first", "least", "ends", "rank")
+        k += 1
+    return reduce(DataFrame.unionByName, found)
+
+
+def intervals(p: DataFrame) -> DataFrame:
+    """Intervals of two suffixes or more, written down: the name (n, a, b), and the place of the first."""
     place = F.struct("doc_id", "key", "first")
-    return saved(s.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).where("n > 1"), "intervals")
+    i = p.groupBy("n", "a", "b").agg(F.count(F.lit(1)).alias("suffixes"), F.min(place).alias("head"))
+    return saved(i.where("suffixes > 1").drop("suffixes"), "intervals")
 
 
-def later_copies(s: DataFrame) -> DataFrame:
-    """Suffixes that start a later copy: doc_id, key, first, last."""
-    i = intervals(s)
-    head = F.struct(s["doc_id"], s["key"], s["first"])
-    j = s.join(i, (s["a"] == i["a"]) & (s["b"] == i["b"])).where(~(head.eqNullSafe(i["head"])))
-    return j.select(s["doc_id"], s["key"], s["first"], s["last"])
+def later_copies(p: DataFrame) -> DataFrame:
+    """Runs that begin at an earlier place too: doc_id, key, first, last."""
+    j = p.join(intervals(p), ["n", "a", "b"]).where(~F.struct("doc_id", "key", "first").eqNullSafe(F.col("head")))
+    return j.select("doc_id", "key", "first", "last")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", maximal: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text cut, and with n_lines and n_removed (in columns of these names or, where taken, with "_" added)."""
-    runs = later_copies(suffixes(docs, min_words, doc_id, text, maximal))
-    runs = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    key, gone, n_lines, n_removed = (fresh(docs, c) for c in ("line_key", "line_runs", "n_lines", "n_removed"))
+    runs = later_copies(prefixes(docs, min_words, doc_id, text))
+    runs = runs.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    lost = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))))
+    runs = saved(runs.select("doc_id", "key", lost.alias("lost")), "runs")
+    key, cut, n_lines, n_removed = (fresh(docs, c) for c in ("line_key", "line_runs", "n_lines", "n_removed"))
     left = docs.withColumn(key, F.xxhash64(text))
     its_doc, its_key = fresh(docs, "line_doc"), fresh(docs, "line_text")
-    runs = runs.select(F.col("doc_id").alias(its_doc), F.col("key").alias(its_key), F.col("runs").alias(gone))
+    runs = runs.select(F.col("doc_id").alias(its_doc), F.col("key").alias(its_key), F.col("lost").alias(cut))
     j = left.join(runs, left[doc_id].eqNullSafe(runs[its_doc]) & (left[key] == runs[its_key]), "left")
-    cut = F.array_distinct(F.flatten(F.transform(gone, lambda r: F.sequence(r["first"], r["last"]))))
     lines = _lines(F.col(text))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut)
-    new = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    out = [F.when(F.col(gone).isNull(), F.col(text)).otherwise(new).alias(c) if c == text else F.col(c) for c in docs.columns]
+    # A flag a line up to the last that goes, so that the text is split once.
+    flags = F.flatten(F.transform(cut, lambda p, i: F.concat(F.array_repeat(F.lit(False), p - F.coalesce(F.get(cut, i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
+    kept = F.filter(F.zip_with(lines, flags, lambda s, f: F.when(~F.coalesce(f, F.lit(False)), s)), lambda s: s.isNotNull())
+    out = [F.when(F.col(cut).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(c) for c in docs.columns]
     total = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines))
     return j.select(*out, total.cast("long").alias(n_lines), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias(n_removed))

@@ -17,6 +17,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+#: Repeated runs of 30 words or more and 30 lines or fewer; any longer one is a union of these.
 OP1_SQL = """
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d),
@@ -24,9 +25,8 @@ t AS (SELECT *, trim(regexp_replace(s, '[\\t\\r\\x0B\\f]', ' ', 'g'), ' ') AS li
 w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j, len(line) - len(replace(line, ' ', '')) + 1 AS words
       FROM t WHERE line <> ''),
 c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
-e AS (SELECT a.doc_id, a.j, a.i AS first, min(b.i) AS last, min(b.j) AS last_j
-      FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.j BETWEEN a.j AND a.j + 29 AND b.upto - a.upto + a.words >= 30
-      GROUP BY ALL),
+e AS (SELECT a.doc_id, a.j, a.i AS first, b.i AS last, b.j AS last_j
+      FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.j BETWEEN a.j AND a.j + 29 AND b.upto - a.upto + a.words >= 30),
 n AS (SELECT e.doc_id, e.first, e.last, string_agg(c.line, chr(10) ORDER BY c.j) AS name
       FROM e JOIN c ON c.doc_id = e.doc_id AND c.j BETWEEN e.j AND e.last_j GROUP BY ALL),
 later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, first) AS r FROM n) WHERE r > 1),
@@ -39,16 +39,6 @@ FROM documents d LEFT JOIN cut c ON c.doc_id = d.doc_id
 """
 
 
-def op1_line_dedup_maximal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1_line_dedup with whole repeated runs; the pipeline cuts as this does."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, maximal=True)
-
-
-#: All prefixes of 30 words or more and 30 lines or fewer, where OP1_SQL has the shortest. Longer runs are unions of these.
-OP1_MAXIMAL_SQL = OP1_SQL.replace("min(b.i) AS last, min(b.j) AS last_j", "b.i AS last, b.j AS last_j")
-
-
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -229,7 +219,6 @@ FROM s QUALIFY rank <= 5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
-    "op1_line_dedup_maximal": op1_line_dedup_maximal,
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
     "op4_minhash_dedup": op4_minhash_dedup,
@@ -241,4 +230,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op1_line_dedup_maximal": OP1_MAXIMAL_SQL, "op2_chat_format": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_warc": OP8_SQL, "op10_topk": OP10_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_warc": OP8_SQL, "op10_topk": OP10_SQL}
