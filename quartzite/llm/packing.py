@@ -35,10 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import Kept, bounded_batches, saved
 
 WINDOW, END_ID = 4096, 2
-CACHED_CHUNKS, CACHED_PIECES, CACHED_BYTES, AT_ONCE, GROUP_BYTES = 800_000, 100_000, 64, 2048, 4 << 20
+CACHED_BYTES, CACHED_PIECES, CHUNK_BYTES, AT_ONCE, GROUP_BYTES = 128 << 20, 100_000, 150, 2048, 4 << 20
 
 #: Chunks of these characters alone fall apart and change case as _PIECE and str.lower say; all others go to the whole tokenizer.
 _PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
@@ -47,9 +47,11 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u017F]+|[
 
 def _parted(texts: pa.Array) -> pa.ListArray:
     """The chunks of each text between ASCII white space, in fewer different ones of the same ids: lower case, and a comma
-    or full stop after a letter as a chunk of its own, which it is in any case. Texts with special tokens are only split."""
+    or full stop after a letter as a chunk of its own, which it is in any case. Texts with special tokens are only split, as are
+    those where a mark follows a capital: letters are composed before they become small, and few small ones compose alike."""
     parted = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([,.])([ \\n])", r"\1 \2\3")
-    return pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, parted))
+    odd = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, r"[A-Z]\p{M}"))
+    return pc.ascii_split_whitespace(pc.if_else(odd, texts, parted))
 
 
 class _Places(dict):
@@ -85,7 +87,7 @@ class Encoder:
     def _clear(self) -> None:
         self.places = _Places()
         self.flat = np.empty(1 << 16, np.uint32)
-        self.end = 0
+        self.end = self.held = 0
         #: By place: where its ids start in flat, and their number.
         self.first = self.number = np.zeros(0, np.int64)
 
@@ -110,6 +112,7 @@ class Encoder:
         """Learn the chunks that have the latest places."""
         if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
+        self.held += sum(map(len, chunks)) + CHUNK_BYTES * len(chunks)  # what Python and the arrays need for each
         before = len(self.first)
         self.first, self.number = (np.concatenate([x, np.zeros(len(chunks), np.int64)]) for x in (self.first, self.number))
         # A chunk of lower-case ASCII letters is one piece, and as a chunk it is known from now on.
@@ -139,7 +142,7 @@ class Encoder:
         if not self.merger:
             whole = self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)
             return [np.array([*e.ids, END_ID], np.uint32) for e in whole]
-        if len(self.places) > CACHED_CHUNKS:
+        if self.held > CACHED_BYTES:
             self._clear()
         places = self.places
         parted = _parted(texts)
@@ -158,8 +161,6 @@ class Encoder:
         for end in ends:
             out.append(np.append(ids[done:end], np.uint32(END_ID)))
             done = end
-        if any(len(c) > CACHED_BYTES for c in new):  # long chunks are not worth their place
-            self._clear()
         return out
 
 
@@ -175,7 +176,7 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoder = Kept()
 
 
 def id_type(tokenizer: str) -> str:
@@ -199,31 +200,35 @@ def splits_in_pieces(tokenizer: str) -> bool:
     return kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and pattern == _PATTERN
 
 
-def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, part, start (its place among part's tokens), n, ids (binary, of id_type)."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    kind, dtype, by_piece = d.schema["doc_id"].dataType.simpleString(), id_type(tokenizer), splits_in_pieces(tokenizer)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer, by_piece))
-        part, at = TaskContext.get().partitionId(), 0
+def _numbered(batches: Iterator[pa.RecordBatch], tokenizer: str, by_piece: bool, dtype: str) -> Iterator[pa.RecordBatch]:
+    """The rows of tokenized() for one partition."""
+    part, at = TaskContext.get().partitionId(), 0
+    with _encoder.use(tokenizer, lambda: Encoder(tokenizer, by_piece)) as encoder:
         for b in batches:
             for low, high in _groups(b.column("text")):
                 ids = encoder.ids(b.column("text").slice(low, high - low))
                 n = [len(x) for x in ids]
                 start = [at, *accumulate(n, initial=at)][1:-1]
                 at += sum(n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").slice(low, high - low),
-                        pa.array([part] * len(n), pa.int32()),
-                        pa.array(start, pa.int64()),
-                        pa.array(n, pa.int64()),
-                        pa.array([x.astype(dtype).tobytes() for x in ids], pa.binary()),
-                    ],
-                    names=["doc_id", "part", "start", "n", "ids"],
-                )
+                columns = {
+                    "doc_id": b.column("doc_id").slice(low, high - low),
+                    "part": pa.array([part] * len(n), pa.int32()),
+                    "start": pa.array(start, pa.int64()),
+                    "n": pa.array(n, pa.int64()),
+                    "ids": pa.array([x.astype(dtype).tobytes() for x in ids], pa.binary()),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, part, start (its place among part's tokens), n, ids (binary, of id_type)."""
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    kind, dtype, by_piece = d.schema["doc_id"].dataType.simpleString(), id_type(tokenizer), splits_in_pieces(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _numbered(batches, tokenizer, by_piece, dtype)
 
+    bounded_batches(docs.sparkSession)
     return d.mapInArrow(run, f"doc_id {kind}, part int, start long, n long, ids binary")
 
 
@@ -234,9 +239,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: str = "d
     kind = t.schema["doc_id"].dataType.simpleString()
     t = saved(t, "packing")
     totals = sorted((r["part"], r["n"]) for r in t.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    offset = dict(zip((p for p, _ in totals), accumulate((n for _, n in totals), initial=0)))
+    offsets = docs.sparkSession.sparkContext.broadcast(dict(zip((p for p, _ in totals), accumulate((n for _, n in totals), initial=0))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offset = offsets.value
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             source = []

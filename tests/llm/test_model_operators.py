@@ -185,6 +185,7 @@ def test_packing_is_the_tokenizer(spark):
     rng = random.Random(6)
     signs = " abcXYZ'’éÉŠİı0129²½ªº́ \x0b\x1c\t\n<|endoftext|>漢字ΑΣς🎉-_.,!?s't"
     rows = [(i, "".join(rng.choice(signs) for _ in range(rng.randrange(200)))) for i in range(300)] + [(900, None), (901, ""), (902, "tok " * 30_000), (903, "a" * 5000), (None, "none"), (5, "again"), (5, "again"), (904, "The end. the END, don't Don'T.")]
+    rows += [(1000 + i, "".join(rng.choice("THJWYAthjwya \u0308\u0331\u030c\u030a\u0301\u0323.,") for _ in range(60))) for i in range(200)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(5)
     pieces = packing.pack(docs, TOKENIZER)
     got: dict = {}
