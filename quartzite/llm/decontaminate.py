@@ -24,19 +24,17 @@ other columns are carried, whatever their names.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved
+from .common import bounded_batches, dropped, fresh, saved
 
-WINDOW, COVERAGE, BLOCK_WORDS = 13, 0.05, 200_000
+WINDOW, PERCENT, BLOCK_WORDS = 13, 5, 200_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: ASCII letters in lower case and digits stay, other ASCII becomes a space, other bytes stay.
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -49,7 +47,7 @@ def words(text: bytes) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton over the words of items, marked for windows of `window` words."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -74,7 +72,7 @@ class Automaton:
                     while self.length[self.link[state]] >= n:
                         state = self.link[state]
                 if have == n:
-                    self.ends[state][n].add(item)
+                    self.ends[state][n].update(() if item is None else (item,))
         self.least = min((n for by in self.ends.values() for n in by), default=0)
 
     def _extend(self, last: int, w: int) -> int:
@@ -168,11 +166,11 @@ def cut(text: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
-def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, bytes]]]:
+def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in blocks of at most BLOCK_WORDS words (a longer item alone), one block on the driver at a time."""
-    block: list[tuple[str, bytes]] = []
+    block: list[tuple[str | None, bytes]] = []
     held = 0
-    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).dropna()
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).dropna(subset=["t"])
     for r in rows.toLocalIterator():
         t = r["t"].encode()
         n = len(words(t))
@@ -184,12 +182,10 @@ def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str
     yield block
 
 
-_built: dict[tuple[str, int], Automaton] = {}
-
-
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str, str, str]:
-    """The columns keep of docs (all, if None) with the number of words, the hit items and the hit spans; and these columns' names."""
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, cutting: bool = False) -> tuple[DataFrame, str, str, str]:
+    """The columns keep of docs (all, if None) with the number of words, the hit items and the hit spans; and these columns' names. cutting: text has no hit spans."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n_words, found, where = (fresh(docs, c) for c in ("n_words", "hit_items", "hit_spans"))
     keep = docs.columns if keep is None else keep
     d = docs.select(*dict.fromkeys([*keep, text]))
@@ -198,64 +194,54 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "t
     block: list | None = next(rest)
     while block is not None:
         following = next(rest, None)
-        d = _pass(d, spark.sparkContext.broadcast(block), window, text, (n_words, found, where), [*keep, n_words, found, where] if following is None else d.columns)
-        if following is not None:
+        last = following is None
+        d = _pass(d, spark.sparkContext.broadcast(block), window, text, (n_words, found, where), [*keep, n_words, found, where] if last else d.columns, cutting and last)
+        if not last:
             d = saved(d, "decontaminate")
         block = following
     return d, n_words, found, where
 
 
-def _pass(d: DataFrame, sent: Broadcast, window: int, text: str, names: tuple[str, str, str], out: list[str]) -> DataFrame:
+def _pass(d: DataFrame, sent: Broadcast, window: int, text: str, names: tuple[str, str, str], out: list[str], cutting: bool) -> DataFrame:
     """Stream the texts through the automaton of one block of items, and add what it finds."""
-    key = (uuid.uuid4().hex, window)
-    kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
+    return d.mapInArrow(lambda batches: _streamed(batches, sent, window, text, names, out, cutting), d.select(*out).schema)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _built.get(key)
-        if automaton is None:
-            _built.clear()
-            automaton = _built[key] = Automaton(sent.value, window)
+def _streamed(batches: Iterator[pa.RecordBatch], sent: Broadcast, window: int, text: str, names: tuple[str, str, str], out: list[str], cutting: bool) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
+    with dropped():
+        automaton = Automaton(sent.value, window)
         for b in batches:
             counts = []
             items, spans = (b.column(c).to_pylist() for c in names[1:])
-            for i, t in enumerate(b.column(text).cast(pa.binary())):
+            texts = b.column(text).cast(pa.binary())
+            for i, t in enumerate(texts):
                 n, new, hit = automaton.match(t.as_py() or b"")
                 counts.append(n)
                 items[i] = sorted(hit.union(items[i] or ()))
                 spans[i] = _merged(new, spans[i] or [])
-            new_columns = {c: pa.array(v, k) for c, v, k in zip(names, (counts, items, spans), kinds, strict=True)}
-            yield pa.RecordBatch.from_arrays([new_columns[c] if c in new_columns else b.column(c) for c in out], names=out)
-
-    return d.mapInArrow(run, d.select(*out).schema)
+            columns = {c: pa.array(v, k) for c, v, k in zip(names, (counts, items, spans), kinds, strict=True)}
+            if cutting and any(spans):
+                columns[text] = pa.array([cut(t, s).decode() if s else t and t.decode() for t, s in zip(texts.to_pylist(), spans, strict=True)], b.schema.field(text).type)
+            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else b.column(c) for c in out], names=out)
 
 
-def judged(n_words: str, where: str, coverage: float = COVERAGE) -> tuple[Column, Column]:
-    """Number of hit words, and whether they are coverage of all words or more."""
+def judged(n_words: str, where: str, percent: int = PERCENT) -> tuple[Column, Column]:
+    """Number of hit words, and whether they are so many percent of all words or more, in whole numbers."""
     n_hit = F.aggregate(where, F.lit(0).cast("long"), lambda a, s: a + F.get(s, 1) - F.get(s, 0))
-    return n_hit, (n_hit > 0) & (n_hit >= F.lit(coverage) * F.col(n_words))
+    return n_hit, (n_hit > 0) & (100 * n_hit >= percent * F.col(n_words))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = PERCENT, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with hit spans cut from text, and five columns (with "_" added where the name is taken).
 
     n_words, n_hit: words of the whole text, and those inside hit spans;
     hit_items: ids of the items with occurring windows, sorted as strings;
     hit_spans: [first, past the last] word of each span;
-    contaminated: n_hit is coverage * n_words or more, and not 0.
+    contaminated: n_hit is percent of n_words or more, and not 0.
     """
-    d, n_words, found, where = hits(docs, items, window, text, item_id, item_text)
-
-    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = b.column(where)
-            if pc.any(pc.greater(pc.list_value_length(spans), 0)).as_py():
-                old = b.column(text).to_pylist()
-                new = [cut(t.encode(), s).decode() if s else t for t, s in zip(old, spans.to_pylist(), strict=True)]
-                b = b.set_column(b.schema.get_field_index(text), text, pa.array(new, b.schema.field(text).type))
-            yield b
-
-    d = d.mapInArrow(trim, d.schema)
-    n_hit, bad = judged(n_words, where, coverage)
+    d, n_words, found, where = hits(docs, items, window, text, item_id, item_text, cutting=True)
+    n_hit, bad = judged(n_words, where, percent)
     return d.select(*docs.columns, n_words, n_hit.alias(fresh(docs, "n_hit")), found, where, bad.alias(fresh(docs, "contaminated")))
 
 

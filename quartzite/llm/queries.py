@@ -84,7 +84,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = r"""
-WITH b AS (SELECT item_id, regexp_extract_all(@lower, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+WITH b AS (SELECT item_id, regexp_extract_all(@lower, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 bj AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS j FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item_id, n, array_to_string(w[j:j + n - 1], ' ') AS g FROM bj),
 d AS (SELECT doc_id, coalesce(regexp_extract_all(@lower, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
@@ -92,7 +92,7 @@ dj AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d, (SELEC
 dw AS (SELECT doc_id, n, j, array_to_string(w[j:j + n - 1], ' ') AS g FROM dj),
 h AS (SELECT dw.doc_id, dw.j, dw.n, CAST(bw.item_id AS VARCHAR) AS item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
 p AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + n)) AS x FROM h) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
        coalesce(p.n_hit, 0) > 0 AND 20 * coalesce(p.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id

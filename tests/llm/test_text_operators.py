@@ -106,8 +106,8 @@ def brute_hits(docs, items, window):
     for item, text in items:
         w = _words(text)
         n = min(window, len(w))
-        for j in range(len(w) - n + 1) if n and item is not None else ():
-            windows[tuple(w[j : j + n])].add(str(item))
+        for j in range(len(w) - n + 1) if n else ():
+            windows[tuple(w[j : j + n])].update(() if item is None else (str(item),))
     out = {}
     for doc_id, text in docs:
         w, hit, found = _words(text), set(), set()
