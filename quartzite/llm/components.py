@@ -10,7 +10,7 @@ from .common import saved
 
 def _hooked(pairs: DataFrame) -> DataFrame:
     """pairs (u, v): every v of a u is tied to the least of u and its v's, as is u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = saved(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")  # a plain table, so that Spark may split the join
     joined = pairs.join(least, "u")
     return joined.select(F.col("v").alias("x"), F.col("m")).unionByName(least.select(F.col("u").alias("x"), "m"))
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bounded_batches, dropped, saved
 from .components import components
 
 ROWS, MISS, HEADS, SIGMAS, CELLS = 5, 1e-6, 3, 6, 64
@@ -94,6 +94,12 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+def _task(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task yields; the worker's words go when it ends."""
+    with dropped(_words):
+        yield from out
+
+
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
@@ -118,6 +124,9 @@ def signatures(docs: DataFrame, size: int, bands: int, doc_id: str = "doc_id", t
     planes = -(-n_hashes // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _task(signed(batches))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20240229)
         xors = rng.integers(0, 1 << 32, n_hashes, dtype=np.uint32)
         odds = rng.integers(0, 1 << 31, n_hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -162,6 +171,7 @@ def signatures(docs: DataFrame, size: int, bands: int, doc_id: str = "doc_id", t
                 )
                 row += len(sets)
 
+    bounded_batches(docs.sparkSession)
     return d.mapInArrow(run, f"doc_id {kind}, tk long, n long, c struct<a:long,b:long>, keys array<long>, sig array<long>")
 
 
@@ -203,25 +213,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc
     """One row per document: doc_id, tk (hash of its text), n_shingles, component_id (least doc_id of its component)."""
     bands = n_bands(similarity)
     s = saved(signatures(docs, size, bands, doc_id, text), "signatures")
-    classes = s.where("n > 0").groupBy("c").agg(F.min(F.struct("doc_id", "tk")).alias("one"), F.min("doc_id").alias("label"))
-    links = class_links(docs, s, size, similarity, bands, doc_id, text)
+    place = F.struct("doc_id", "tk")
+    first = F.min_by(F.struct("doc_id", "tk", "n", "keys", "sig"), place).alias("r")
+    classes = saved(s.where("n > 0").groupBy("c").agg(first, F.min("doc_id").alias("label")).select("c", "label", "r.*"), "classes")
+    links = class_links(docs, classes, size, similarity, bands, doc_id, text)
     comp = classes.select("c", "label").join(links, F.col("c") == F.col("node"), "left").select("c", "label", F.coalesce("comp", "c").alias("comp"))
-    least = comp.groupBy("comp").agg(F.min("label").alias("component_id"))
-    named = saved(comp.join(least, "comp").select("c", "component_id"), "named")  # a plain table: a class may hold many documents
+    comp = saved(comp, "comp")  # plain tables on both sides of each join: a component may hold many classes, a class many documents
+    least = saved(comp.groupBy("comp").agg(F.min("label").alias("component_id")), "least")
+    named = saved(comp.join(least, "comp").select("c", "component_id"), "named")
     out = s.select("doc_id", "tk", F.col("n").alias("n_shingles"), "c").join(named, "c", "left")
     return out.select("doc_id", "tk", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def class_links(docs: DataFrame, s: DataFrame, size: int, similarity: float, bands: int, doc_id: str, text: str) -> DataFrame:
-    """Components (node, comp) of the classes that have links with other classes."""
+def class_links(docs: DataFrame, classes: DataFrame, size: int, similarity: float, bands: int, doc_id: str, text: str) -> DataFrame:
+    """Components (node, comp) of the classes that have links with other classes. classes: a written table."""
     n_hashes = bands * ROWS
-    classes = s.where("n > 0").groupBy("c").agg(F.min_by(F.struct("doc_id", "tk", "n", "keys", "sig"), F.struct("doc_id", "tk")).alias("r")).select("c", "r.*")
     members = classes.select("c", F.explode("keys").alias("key"))
     heads = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("head")).where("k > 1").drop("k")
     heads = saved(heads, "heads")  # a plain table, so that Spark may split a large bucket in the join
     members = saved(members.join(heads, "key"), "buckets")
     need = members.select("c").distinct()
-    facts = saved(classes.select("c", "doc_id", "tk", "n", "sig").join(need, "c", "left_semi"), "classes")
+    facts = saved(classes.select("c", "doc_id", "tk", "n", "sig").join(need, "c", "left_semi"), "facts")
     sets = saved(_sets(docs, facts, size, doc_id, text), "sets")
     if sets.count() > facts.count():  # the table repeats rows
         sets = saved(sets.dropDuplicates(["c"]), "sets")
@@ -266,6 +278,9 @@ def _sets(docs: DataFrame, facts: DataFrame, size: int, doc_id: str, text: str)
     j = d.join(f, d["d_id"].eqNullSafe(f["doc_id"]) & (d["d_tk"] == f["tk"])).select("c", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _task(shingled(batches))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row = 0
             for chunk in _chunks(b.column("text").to_pylist()):
@@ -320,18 +335,21 @@ def _across(members: DataFrame, facts: DataFrame, sets: DataFrame, similarity: f
     least = saved(m.groupBy("key").agg(F.min("n").alias("least")), "least")
     partner = F.greatest("rest", "least")
     m = saved(m.join(least, "key").where(_linked(F.col("rest"), partner, F.col("n"), similarity)), "rest")
-    names = ("c", "comp", "n", "rest", "sig", "cells")
-    a = m.select("key", *(F.col(x).alias(f"{x}_a") for x in names))
+    # A pair of two components has a side outside the bucket's largest one: that side meets all, so that no component meets itself.
+    sizes = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"))
+    m = saved(m.join(saved(sizes.select("key", F.col("most.comp").alias("largest")), "largest"), "key"), "sided")
+    names = ("c", "comp", "n", "rest", "sig", "cells", "largest")
+    a = m.where("comp != largest").select("key", *(F.col(x).alias(f"{x}_a") for x in names))
     b = m.select("key", *(F.col(x).alias(f"{x}_b") for x in names))
     near = estimate(F.col("sig_a"), F.col("sig_b"), n_hashes) >= _lowest_estimate(similarity, n_hashes)
     common = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda n, x: n + x)
     j = a.join(
         b,
         (a["key"] == b["key"])
-        & (F.col("c_a") > F.col("c_b"))
         & (F.col("comp_a") != F.col("comp_b"))
+        & ((F.col("comp_b") == F.col("largest_b")) | (F.col("c_a") > F.col("c_b")))
         & _linked(F.least("rest_a", "rest_b"), F.col("n_a"), F.col("n_b"), similarity)
         & near
         & _linked(common, F.col("n_a"), F.col("n_b"), similarity),
     )
-    return j.select(F.col("c_a").alias("u"), F.col("c_b").alias("v")).distinct()
+    return _ordered(j.select(F.col("c_a").alias("u"), F.col("c_b").alias("v")))
