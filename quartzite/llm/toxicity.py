@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import bounded_batches, dropped, fresh
 
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4000, 8000, 2000
 MIN_FUZZY, CACHED_WORDS, CACHED_BYTES = 5, 200_000, 80
@@ -267,15 +267,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
     """docs with a column of scores from 0 to 1 ("_" is added to its name while that is taken). Rows stay where they are."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = sent.value
-        lexicon = _lexicon(m["terms"])
-        mean, scale, b = (np.array(m[k]) for k in ("mean", "scale", "b"))
+        return _scored(parts, sent.value)
+
+    return docs.withColumn(fresh(docs, name), scored(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+
+
+def _scored(parts: Iterator[pd.Series], model: dict) -> Iterator[pd.Series]:
+    lexicon = _lexicon(model["terms"])
+    mean, scale, b = (np.array(model[k]) for k in ("mean", "scale", "b"))
+    with dropped(lexicon.known, lexicon.moves):
         for s in parts:
             x = np.array([lexicon.features(t) if t else [0.0] * N_FEATURES for t in s]).reshape(-1, N_FEATURES)
             yield pd.Series(1 / (1 + np.exp(-np.clip(b[0] + ((x - mean) / scale) @ b[1:], -30, 30))))
-
-    return docs.withColumn(fresh(docs, name), scored(F.coalesce(F.col(text).cast("string"), F.lit(""))))
