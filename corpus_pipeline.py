@@ -26,17 +26,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; those that lose all they had go."""
-    cut = line_dedup.dedup_lines(docs, maximal=True)
+    cut = line_dedup.dedup_lines(docs)
     n_removed = cut.columns[-1]
     return cut.where((F.col(n_removed) == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each component that names it. Rows that repeat doc_id and text stay or go alike."""
-    found = minhash.near_duplicates(docs, size=5, similarity=0.8)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d"), "tk").distinct()
-    same = docs["doc_id"].eqNullSafe(stay["d"]) & (F.xxhash64(docs["text"]) == stay["tk"])
-    return docs.join(stay, same, "left_semi")
+    """One document of each component: that which names it. Of rows that repeat doc_id and a text with words, one stays."""
+    found = saved(minhash.near_duplicates(docs, size=5, similarity=0.8), "near-copies")
+    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = saved(named.groupBy(F.col("doc_id").alias("d"), "tk").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")), "stay")
+    again = (F.col("rows") > 1) & (F.col("n") > 0)
+
+    def of(these: DataFrame) -> DataFrame:
+        return docs.join(these, docs["doc_id"].eqNullSafe(these["d"]) & (F.xxhash64(docs["text"]) == these["tk"]), "left_semi")
+
+    if stay.where(again).isEmpty():
+        return of(stay)
+    return of(stay.where(~again)).unionByName(of(stay.where(again)).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
