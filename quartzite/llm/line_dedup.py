@@ -174,6 +174,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     left = docs.withColumn(key, F.xxhash64(text))
     its_doc, its_key = fresh(docs, "line_doc"), fresh(docs, "line_text")
     runs = runs.select(F.col("doc_id").alias(its_doc), F.col("key").alias(its_key), F.col("lost").alias(cut))
+    # Sorted and merged at every size: a broadcast of the runs would grow with the documents.
+    runs = runs.hint("merge")
     j = left.join(runs, left[doc_id].eqNullSafe(runs[its_doc]) & (left[key] == runs[its_key]), "left")
     lines = _lines(F.col(text))
     # A flag a line up to the last that goes, so that the text is split once.
