@@ -29,9 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, saved
+
 SCALE, QUERIES, ROWS, AT_ONCE, FIRST_DEPTH = 256, 65_536, 8_192, 512, 16
 _NO_ID, _NO_SCORE = np.iinfo(np.int64).max, -(1 << 62)
 
@@ -153,21 +156,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
 
     v, q = ready(vectors), ready(queries).distinct()
     spark = vectors.sparkSession
+    bounded_batches(spark)
     blocks = max(1, math.ceil(q.count() / QUERIES))
+    if blocks == 1:
+        return _searched(v, q, k)[0]
     out = None
-    for i in range(blocks):
-        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)
-        found = _searched(v, sorted((r["vec_id"], r["v"]) for r in block.collect()), k, spark)
+    for i in range(blocks):  # one block of queries is on its way at a time; its results are written before the next is fetched
+        found, sent = _searched(v, q.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i), k)
+        found = saved(found, "top-k")
+        sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _searched(v: DataFrame, queries: list[tuple[int, list[int]]], k: int, spark) -> DataFrame:
+def _searched(v: DataFrame, block: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """The k best of each query of a block, and the broadcast that they need until they are written."""
+    queries = sorted((r["vec_id"], r["v"]) for r in block.collect())
     width = max((len(x) for _, x in queries), default=0)
     matrix = np.zeros((len(queries), width), np.int64)
     for i, (_, x) in enumerate(queries):
         matrix[i, : len(x)] = x
-    sent = spark.sparkContext.broadcast((np.array([i for i, _ in queries], np.int64), matrix))
+    sent = v.sparkSession.sparkContext.broadcast((np.array([i for i, _ in queries], np.int64), matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = sent.value
@@ -185,4 +194,4 @@ def _searched(v: DataFrame, queries: list[tuple[int, list[int]]], k: int, spark)
     found = v.mapInArrow(run, "q long, query_id long, vec_id long, score long")
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["q", "rank"])
-    return found.select("query_id", "rank", "vec_id", "score")
+    return found.select("query_id", "rank", "vec_id", "score"), sent
