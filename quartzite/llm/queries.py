@@ -141,7 +141,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.size("paragraphs").cast("long").alias("n_paragraphs"))
 
 
-#: The dated list: fixed entries, and one that comes and goes for every host whose name's length is divisible by 3.
+#: The dated list: fixed entries, one that comes and goes for every host whose name's length is divisible by 3, and the whole addresses of every fifth page.
 URL_LIST = [
     ("example.net", "2024-02-01", "block"),
     ("example.net", "2024-07-01", "remove"),
@@ -163,8 +163,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = pages.select(host.alias("key")).distinct().where("key <> '' AND length(key) % 3 = 0")
     start = F.date_add(F.lit("2024-01-01").cast("date"), (F.length("key") * 7 % 200).cast("int"))
     comes, goes = (hosts.select("key", F.date_add(start, d).alias("listed_at"), F.lit(a).alias("action")) for d, a in ((0, "block"), (90, "remove")))
+    rest = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    whole = pages.where("page_id % 5 = 0").select(F.rtrim(rest, F.lit("/")).alias("key")).where("key LIKE '%/%'").distinct()
+    whole = whole.select("key", F.lit("2024-04-01").cast("date").alias("listed_at"), F.lit("allow").alias("action"))
     fixed = spark.createDataFrame(URL_LIST, "key string, listed_at string, action string").withColumn("listed_at", F.to_date("listed_at"))
-    found = url_filter.filter_urls(captures, fixed.unionByName(comes).unionByName(goes))
+    found = url_filter.filter_urls(captures, fixed.unionByName(comes).unionByName(goes).unionByName(whole))
     return found.select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "n_active", "list_key", "list_action", "blocked")
 
 
@@ -174,9 +177,10 @@ WITH p AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGE
                   regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS rest FROM pages),
 h AS (SELECT DISTINCT host AS key, DATE '2024-01-01' + CAST(len(host) * 7 % 200 AS INTEGER) AS d FROM p WHERE host <> '' AND len(host) % 3 = 0),
 e AS (SELECT * FROM (VALUES @list) AS v(key, listed_at, action)
-      UNION ALL SELECT key, d, 'block' FROM h UNION ALL SELECT key, d + 90, 'remove' FROM h),
+      UNION ALL SELECT key, d, 'block' FROM h UNION ALL SELECT key, d + 90, 'remove' FROM h
+      UNION ALL SELECT DISTINCT rtrim(rest, '/'), DATE '2024-04-01', 'allow' FROM p WHERE page_id % 5 = 0 AND rtrim(rest, '/') LIKE '%/%'),
 i AS (SELECT *, lead(listed_at) OVER (PARTITION BY key ORDER BY listed_at) AS ended FROM e),
-k AS (SELECT page_id, url, t, host, list_filter(string_split(rest, '/')[2:3], lambda x: x <> '') AS path, unnest(range(1, len(string_split(host, '.')))) AS j FROM p),
+k AS (SELECT page_id, url, t, host, list_filter(string_split(rest, '/')[2:], lambda x: x <> '') AS path, unnest(range(1, len(string_split(host, '.')))) AS j FROM p),
 s AS (SELECT page_id, t, array_to_string(string_split(host, '.')[j:], '.') AS domain, path, unnest(range(0, len(path) + 1)) AS n FROM k),
 c AS (SELECT page_id, t, domain || CASE WHEN n > 0 THEN '/' || array_to_string(path[1:n], '/') ELSE '' END AS key FROM s),
 m AS (SELECT c.page_id, c.key, i.action FROM c JOIN i ON c.key = i.key AND c.t >= i.listed_at AND (i.ended IS NULL OR c.t < i.ended) WHERE i.action <> 'remove'),

@@ -3,8 +3,9 @@
 A list is dated entries: on listed_at, key is added with an action ("block" or
 "allow") or taken off ("remove"). The next entry of the same key ends it, so
 entries become validity intervals [from, until). A key is a domain, which holds
-for its subdomains too, or a domain with any number of leading path segments,
-whose case counts. Each capture
+for its subdomains too (but no ending of one label), or a numeric address or a
+name of one label, which hold for themselves; each with any number of leading
+path segments, whose case counts. Each capture
 is matched, as of its fetch time, with every entry active then whose key its
 address has; the entry with the longest key decides.
 
@@ -31,7 +32,7 @@ from .common import fresh, saved
 def intervals(entries: DataFrame, key: str = "key", listed_at: str = "listed_at", action: str = "action") -> DataFrame:
     """key, action, from_at, until_at (null: still active)."""
     host = F.substring_index(key, "/", 1)  # hosts are of any case, paths are not
-    whole = F.concat(F.lower(host), F.substr(F.col(key), F.char_length(host) + F.lit(1)))
+    whole = F.rtrim(F.concat(F.lower(host), F.substr(F.col(key), F.char_length(host) + F.lit(1))), F.lit("/"))
     e = entries.select(whole.alias("key"), F.col(listed_at).alias("from_at"), F.lower(F.col(action)).alias("action")).dropna()
     e = e.groupBy("key", "from_at").agg(F.max("action").alias("action"))
     e = e.withColumn("until_at", F.lead("from_at").over(Window.partitionBy("key").orderBy("from_at")))
@@ -44,14 +45,16 @@ def depth(intervals: DataFrame) -> int:
 
 
 def keys(url: Column, segments: int) -> Column:
-    """The keys of an address: every domain suffix of two labels or more, alone and with up to so many path segments."""
+    """The keys of an address: its host and, unless that is numeric, every ending of two labels or more, alone and with up to so many path segments."""
     rest = F.regexp_replace(F.trim(url), r"^(?i)[a-z][a-z0-9+.-]*://", "")
     rest = F.regexp_replace(rest, r"[?#].*$", "")
     host = F.lower(F.regexp_replace(F.regexp_replace(F.substring_index(rest, "/", 1), r"^.*@", ""), r"(:\d*)?\.?$", ""))
     path = F.slice(F.filter(F.slice(F.split(rest, "/"), F.lit(2), F.size(F.split(rest, "/"))), lambda s: s != ""), 1, segments)
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), ".")))
+    whole = (n == 1) | host.rlike(r"^(\d+(\.\d+){3}|\[.*\])$")
+    endings = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    domains = F.when(host == "", F.array().cast("array<string>")).when(whole, F.array(host)).otherwise(endings)
     depths = F.sequence(F.lit(0), F.size(path))
     paths = F.transform(depths, lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(path, F.lit(1), k), "/"))))
     return F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.concat(d, p))))

@@ -137,8 +137,9 @@ def test_url_filter(spark):
 
 def test_url_filter_matches_paths_of_any_depth_and_case(spark):
     day = datetime.date(2024, 1, 1)
-    e = spark.createDataFrame([(k, day, a) for k, a in (("Example.com/a/b/c", "block"), ("example.com/a/b/c/d/e", "allow"), ("x.org/Up", "block"))], "key string, listed_at date, action string")
-    want = {"http://example.com/a/b": False, "http://example.com/a/b/c": True, "http://www.example.com/a/b/c/d?q": True, "http://example.com/a/b/c/d/e/f": False, "http://X.org/Up/1": True, "http://x.org/up": False, "http://x.org/": False}
+    e = spark.createDataFrame([(k, day, a) for k, a in (("Example.com/a/b/c", "block"), ("example.com/a/b/c/d/e", "allow"), ("x.org/Up/", "block"), ("0.1", "block"), ("10.0.0.7", "block"), ("[2001:db8::1]", "block"), ("LocalHost", "block"), ("tld", "block"))], "key string, listed_at date, action string")
+    want = {"http://example.com/a/b": False, "http://example.com/a/b/c": True, "http://www.example.com/a/b/c/d?q": True, "http://example.com/a/b/c/d/e/f": False, "http://X.org/Up/1": True, "http://x.org/up": False, "http://x.org/": False,
+            "http://10.0.0.1/x": False, "http://10.0.0.7:8080/x": True, "http://[2001:DB8::1]:80/a": True, "http://localhost/z": True, "http://a.localhost/": False, "http://only.tld/": False, "x.org/Up/" + "long/" * 3000: True, "http:///Up": False}
     captures = spark.createDataFrame([(u, day) for u in want], "url string, fetched_at date")
     assert {r.url: r.blocked for r in url_filter.filter_urls(captures, e).collect()} == want
 
