@@ -42,11 +42,16 @@ def _clean() -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def cleaned(spark: SparkSession, path: str) -> str:
+    """path, which is deleted when the application ends."""
+    _written.append((spark, path))
+    return path
+
+
 def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and lost executors lose nothing. Deleted when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = cleaned(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

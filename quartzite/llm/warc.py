@@ -10,6 +10,10 @@ that with the smallest page id holds the payload; the others are revisit
 records that refer to it. Duplicates are found by a partial aggregate over
 digests, and the join back to the pages is an equi join that Spark may split.
 
+A bundle begins with a warcinfo record. Records have identifiers of their own, but for rows that repeat both
+page_id and payload, where revisits refer to any of them. Reading back verifies digests: a response's payload against its head,
+and a revisit's head against the payload, read again, of the record that it names.
+
 A bundle's name holds an identifier of the attempt that wrote it and the index
 names the bundles of the attempt that Spark committed, so a lost executor or a
 second attempt leaves at most a file that no index names.
@@ -22,6 +26,7 @@ table writes no bundle; other columns are ignored.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import struct
 import uuid
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir
+from .common import bounded_batches, cleaned, saved, shared_dir
 
 REVISIT_BYTES, FRAME_BYTES, BUNDLE_BYTES, LEVEL = 100, 1 << 18, 1 << 25, 3
 #: Fixed values of the seekable format: magic of skippable frame 14, and of the seek table's end.
@@ -119,21 +124,30 @@ class BundleReader:
         return self.frame(frame)[offset : offset + length]
 
 
-def make_record(record_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))]) + "\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def make_info(date: str) -> bytes:
+    """The warcinfo record of a bundle."""
+    block = b"software: quartzite\r\nformat: WARC File Format 1.1\r\n"
+    return _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], block)
+
+
+def make_record(record_id: str, url: str, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
     """A response record, or with refers_to a revisit record that has the HTTP head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = head if refers_to else head + payload
     fields = [
         ("WARC-Type", "revisit" if refers_to else "response"),
         ("WARC-Record-ID", f"<{record_id}>"),
+        ("WARC-Date", date),
         ("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         *([("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Profile", _PROFILE)] if refers_to else []),
         ("Content-Type", "application/http; msgtype=response"),
-        ("Content-Length", str(len(block))),
     ]
-    text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
-    return text.encode() + block + b"\r\n\r\n"
+    return _record(fields, head if refers_to else head + payload)
 
 
 def read_record(record: bytes) -> dict:
@@ -146,13 +160,18 @@ def read_record(record: bytes) -> dict:
     return fields | {"payload": payload}
 
 
-def _record_id(page_id) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}"
+def _record_id(page_id, mark: str) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}:{mark}"
+
 
+def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", date: str | None = None) -> DataFrame:
+    """Write bundles to folder (a new one in the shared folder, gone when the application ends, if None), dated date (now, if None).
 
-def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write bundles to folder (in the shared one, if None); the index: page_id, record_id, bundle, frame, offset, length."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    The index: page_id, record_id, refers_to (a record_id, for revisits), bundle, frame, offset, length.
+    """
+    bounded_batches(pages.sparkSession)
+    folder = folder or cleaned(pages.sparkSession, f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     p = pages.select(
         F.col(page_id).alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload")
     )
@@ -160,7 +179,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
     same = p.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     same = saved(same.where("n > 1").select("digest", "first"), "warc-same")  # a plain table, so that Spark may split the join
     p = p.join(same, "digest", "left")
-    p = p.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    again = ~F.col("page_id").eqNullSafe(F.col("first"))
+    p = p.select("page_id", "url", "payload", "digest", F.when(again, F.col("first")).alias("first"), (F.col("first").isNotNull() & ~again).alias("named"))
     kind = p.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,32 +188,51 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
         for b in batches:
             rows: list[tuple] = []
             for i in range(b.num_rows):
-                pid, address, payload, digest, first = (b.column(c)[i].as_py() for c in ("page_id", "url", "payload", "digest", "refers_to"))
+                pid, address, payload, digest, first, named = (b.column(c)[i].as_py() for c in ("page_id", "url", "payload", "digest", "first", "named"))
                 if bundle is None:
                     bundle = BundleWriter(f"{folder}/{attempt}-{n:05d}.warc.zst")
+                    bundle.add(make_info(date))
                     n += 1
-                rid = _record_id(pid)
-                record = make_record(rid, address, payload, digest, None if first is None else _record_id(first))
-                rows.append((rid, bundle.uri, *bundle.add(record), len(record)))
+                rid = _record_id(pid, digest if named else uuid.uuid4().hex)
+                refers_to = None if first is None else _record_id(first, digest)
+                record = make_record(rid, address, payload, digest, refers_to, date)
+                rows.append((rid, refers_to, bundle.uri, *bundle.add(record), len(record)))
                 if bundle.total >= BUNDLE_BYTES:
                     bundle.close()
                     bundle = None
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)] if rows else []
             if rows:
-                yield pa.RecordBatch.from_arrays([b.column("page_id"), *columns], names=["page_id", "record_id", "bundle", "frame", "offset", "length"])
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), *columns], names=["page_id", "record_id", "refers_to", "bundle", "frame", "offset", "length"])
         if bundle is not None:
             bundle.close()
 
-    index = p.mapInArrow(run, f"page_id {kind}, record_id string, bundle string, frame int, offset long, length long")
+    index = p.mapInArrow(run, f"page_id {kind}, record_id string, refers_to string, bundle string, frame int, offset long, length long")
     return saved(index, "warc-index")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """The records that an index names, read from their bundles: page_id, record_type, refers_to, payload, payload_bytes, payload_digest.
+    """The records that an index names, read from their bundles: page_id, record_type, refers_to (a page_id), payload, payload_bytes, payload_digest, verified.
 
-    A revisit has no payload of its own; its size and digest are those that its heads state for the payload it refers to.
+    A revisit has no payload of its own; its size and digest are those of the record that it names, which is read for
+    them. verified: heads agree with these.
     """
     kind = index.schema["page_id"].dataType.simpleString()
+    responses = _read(index.where("refers_to IS NULL"), kind).select("page_id", "record_type", F.lit(None).cast(kind).alias("refers_to"), "payload", "payload_bytes", "payload_digest", "verified")
+    revisits = index.where("refers_to IS NOT NULL")
+    named = saved(revisits.select(F.col("refers_to").alias("named")).distinct(), "warc-named")
+    named = index.join(named, index["record_id"] == named["named"], "left_semi").dropDuplicates(["record_id"])
+    named = saved(_read(named, kind).select(F.col("record_id").alias("named"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("digest")), "warc-named")
+    r = _read(revisits, kind)
+    r = r.join(named, r["refers_to"] == named["named"], "left")
+    first = F.regexp_replace(F.regexp_replace("refers_to", "^urn:page:", ""), ":[^:]*$", "")
+    agrees = F.coalesce((F.col("n") == F.col("payload_bytes")) & (F.col("digest") == F.col("payload_digest")), F.lit(False))
+    revisits = r.select("page_id", "record_type", first.cast(kind).alias("refers_to"), "payload", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), agrees.alias("verified"))
+    return responses.unionByName(revisits)
+
+
+def _read(index: DataFrame, kind: str) -> DataFrame:
+    """Records with what their heads state (revisits) or their payloads give (responses), and whether the two agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = None
@@ -204,15 +243,15 @@ def read_archives(index: DataFrame) -> DataFrame:
                 if reader is None or reader[0] != uri:
                     reader = (uri, BundleReader(uri))
                 r = read_record(reader[1].record(frame, offset, length))
+                stated = r["WARC-Payload-Digest"].removeprefix("sha256:")
                 if r["WARC-Type"] == "revisit":
-                    first = r["WARC-Refers-To"].strip("<>").removeprefix("urn:page:")
-                    out.append(("revisit", first, None, int(r["http.Content-Length"]), r["WARC-Payload-Digest"].removeprefix("sha256:")))
+                    out.append((r["WARC-Record-ID"].strip("<>"), "revisit", r["WARC-Refers-To"].strip("<>"), None, int(r["http.Content-Length"]), stated, True))
                 else:
-                    out.append(("response", None, r["payload"], len(r["payload"]), hashlib.sha256(r["payload"]).hexdigest()))
+                    digest = hashlib.sha256(r["payload"]).hexdigest()
+                    out.append((r["WARC-Record-ID"].strip("<>"), "response", None, r["payload"], len(r["payload"]), digest, digest == stated))
             if out:
-                kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string())
+                kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.bool_())
                 columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("page_id"), *columns], names=["page_id", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), *columns], names=["page_id", "record_id", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "verified"])
 
-    found = index.mapInArrow(run, f"page_id {kind}, record_type string, refers_to string, payload binary, payload_bytes long, payload_digest string")
-    return found.withColumn("refers_to", F.col("refers_to").cast(kind))
+    return index.mapInArrow(run, f"page_id {kind}, record_id string, record_type string, refers_to string, payload binary, payload_bytes long, payload_digest string, verified boolean")

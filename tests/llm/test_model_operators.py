@@ -175,6 +175,10 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
 
     whole = zstandard.ZstdDecompressor().stream_reader(open(bundles[0].removeprefix("file://"), "rb"), read_across_frames=True).read()
     assert whole == b"".join(reader.frame(i) for i in range(len(reader.sizes)))
+    assert whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and whole.count(b"\r\nWARC-Date: ") == whole.count(b"WARC/1.1\r\n") > 1
+    assert all(r.verified for r in got)
+    ids = [r.record_id for r in index.collect() if r.page_id != 501]
+    assert len(set(ids)) == len(ids)
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
