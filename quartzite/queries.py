@@ -235,52 +235,179 @@ def explain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, [("plan", text)])
 
 
-def _outcome(session: Session, statement: str) -> tuple[str, str]:
+def _outcome(session: Session, statement: str) -> str:
+    """What came of a statement: its kind and count, the rows of a SELECT in their order, or the error."""
     try:
-        session.execute(statement)
-        return statement, "ok"
+        r = session.execute(statement)
     except (InvalidInput, ReadOnly, Serialization) as e:
-        return statement, f"{type(e).__name__}: {e}"
+        return f"{type(e).__name__}: {e}"
+    if r.df is not None:
+        return "; ".join(", ".join("NULL" if v is None else str(v) for v in row) for row in r.rows())
+    return r.kind if r.count is None else f"{r.kind} {r.count}"
 
 
-def constraint_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    session = _accounts(spark, sf_dir, load=False)
-    return _texts(
-        spark,
-        [
-            _outcome(session, s)
-            for s in (
-                "INSERT INTO accounts VALUES (1, 'a')",
-                "INSERT INTO accounts VALUES (1, 'b')",
-                "INSERT INTO accounts VALUES (2, NULL)",
-                "INSERT INTO accounts VALUES (NULL, 'c')",
-                "INSERT INTO accounts VALUES (3, 'd', 1.5)",
-                "CREATE TABLE notes (id INTEGER PRIMARY KEY, account INTEGER REFERENCES accounts, tag STRING UNIQUE)",
-                "INSERT INTO notes VALUES (1, 9, 'x')",
-                "INSERT INTO notes VALUES (1, 1, 'x')",
-                "INSERT INTO notes VALUES (2, 1, 'x')",
-                "DELETE FROM accounts WHERE id = 1",
-                "DROP TABLE accounts",
-            )
-        ],
-    )
-
-
-def conflict_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _accounts(spark, sf_dir, load=False)
-    one.execute("INSERT INTO accounts VALUES (1, 'a'), (2, 'b')")
-    two = one.engine.session()
-    one.execute("BEGIN")
-    two.execute("BEGIN")
-    steps = [_outcome(one, "UPDATE accounts SET balance = 2.0 WHERE id = 1"), _outcome(two, "UPDATE accounts SET balance = 3.0 WHERE id = 1")]
-    steps += [_outcome(two, "UPDATE accounts SET balance = 3.0 WHERE id = 2"), _outcome(one, "COMMIT"), _outcome(two, "COMMIT")]
-    return _texts(spark, steps)
+def _script(*steps: tuple[int, str, str]) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """A query that runs statements in sessions 1, 2, ... of one empty store and returns what came of each; and SQL for what must."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark, store_folder(spark))
+        sessions = {i: engine.session() for i in sorted({i for i, _, _ in steps})}
+        rows = [(n, text, _outcome(sessions[i], text)) for n, (i, text, _) in enumerate(steps, 1)]
+        return spark.createDataFrame(rows, "step long, statement string, outcome string")
 
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
 
-def show_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, [("accounts", _accounts(spark, sf_dir, load=False).table("accounts").show_create())])
+    values = ", ".join(f"({n}, {quoted(text)}, {quoted(outcome)})" for n, (_, text, outcome) in enumerate(steps, 1))
+    return run, f"SELECT CAST(step AS BIGINT) AS step, statement, outcome FROM (VALUES {values}) AS v(step, statement, outcome)"
 
 
+def show_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = _accounts(spark, sf_dir, load=False)
+    session.execute('CREATE TABLE note (id INTEGER PRIMARY KEY, account INTEGER REFERENCES accounts, "index" INTEGER INDEX, tag STRING UNIQUE, seen BOOLEAN NOT NULL DEFAULT FALSE)')
+    return _texts(spark, [(n, session.table(n).show_create()) for n in ("accounts", "note")])
+
+
+_SHOWN = """SELECT step, array_to_string(lines, chr(10)) AS outcome FROM (VALUES
+('accounts', ['CREATE TABLE accounts (', '  id INTEGER PRIMARY KEY,', '  name STRING NOT NULL,', '  nation INTEGER DEFAULT NULL,',
+  '  balance FLOAT DEFAULT 1.5,', '  segment STRING DEFAULT ''none''', ')']),
+('note', ['CREATE TABLE note (', '  id INTEGER PRIMARY KEY,', '  account INTEGER DEFAULT NULL INDEX REFERENCES accounts,',
+  '  "index" INTEGER DEFAULT NULL INDEX,', '  tag STRING DEFAULT NULL UNIQUE INDEX,', '  seen BOOLEAN NOT NULL DEFAULT FALSE', ')'])) AS v(step, lines)"""
+
+#: Statements of several sessions on an empty store, with what must come of each.
+SCRIPTS = {
+    "constraint_errors": _script(
+        (1, "CREATE TABLE accounts (id INTEGER PRIMARY KEY, name STRING NOT NULL, rate FLOAT DEFAULT 1.5)", "CREATE TABLE"),
+        (1, "INSERT INTO accounts VALUES (1, 'a')", "INSERT 1"),
+        (1, "INSERT INTO accounts VALUES (1, 'b')", "InvalidInput: primary key 1 already exists"),
+        (1, "INSERT INTO accounts VALUES (2, NULL)", "InvalidInput: NULL value not allowed for column name"),
+        (1, "INSERT INTO accounts VALUES (NULL, 'c')", "InvalidInput: invalid primary key None"),
+        (1, "INSERT INTO accounts VALUES (3, 4)", "InvalidInput: invalid datatype INTEGER for STRING column name"),
+        (1, "INSERT INTO accounts VALUES (3, 'd', 'e')", "InvalidInput: invalid datatype STRING for FLOAT column rate"),
+        (1, "INSERT INTO accounts (id) VALUES (3)", "InvalidInput: no value given for column name with no default"),
+        (1, "CREATE TABLE notes (id INTEGER PRIMARY KEY, account INTEGER REFERENCES accounts, tag STRING UNIQUE)", "CREATE TABLE"),
+        (1, "INSERT INTO notes VALUES (1, 9, 'x')", "InvalidInput: reference 9 not in table accounts"),
+        (1, "INSERT INTO notes VALUES (1, 1, 'x')", "INSERT 1"),
+        (1, "INSERT INTO notes VALUES (2, 1, 'x')", "InvalidInput: value x already in unique column tag"),
+        (1, "INSERT INTO notes VALUES (2, NULL, NULL), (3, NULL, NULL)", "INSERT 2"),
+        (1, "DELETE FROM accounts WHERE id = 1", "InvalidInput: row referenced by notes.account = 1"),
+        (1, "DROP TABLE accounts", "InvalidInput: table accounts is referenced from notes.account"),
+        (1, "UPDATE notes SET account = 7", "InvalidInput: reference 7 not in table accounts"),
+        (1, "SELECT * FROM notes ORDER BY id", "1, 1, x; 2, NULL, NULL; 3, NULL, NULL"),
+        (1, "DELETE FROM notes", "DELETE 3"),
+        (1, "DELETE FROM accounts", "DELETE 1"),
+        (1, "DROP TABLE notes", "DROP TABLE"),
+        (1, "DROP TABLE accounts", "DROP TABLE"),
+    ),
+    "conflict_error": _script(
+        (1, "CREATE TABLE t (id INTEGER PRIMARY KEY, v INTEGER)", "CREATE TABLE"),
+        (1, "INSERT INTO t VALUES (1, 10), (2, 20)", "INSERT 2"),
+        (1, "BEGIN", "BEGIN"),
+        (2, "BEGIN", "BEGIN"),
+        (1, "UPDATE t SET v = 11 WHERE id = 1", "UPDATE 1"),
+        (2, "UPDATE t SET v = 12 WHERE id = 1", "Serialization: serialization failure, retry transaction"),
+        (2, "UPDATE t SET v = 21 WHERE id = 2", "UPDATE 1"),
+        (1, "COMMIT", "COMMIT"),
+        (2, "COMMIT", "COMMIT"),
+        (1, "SELECT * FROM t ORDER BY id", "1, 11; 2, 21"),
+    ),
+    "ddl_outcomes": _script(
+        (1, "CREATE TABLE t (id INTEGER PRIMARY KEY)", "CREATE TABLE"),
+        (1, "CREATE TABLE t (id INTEGER PRIMARY KEY)", "InvalidInput: table t already exists"),
+        (1, "CREATE TABLE u (a INTEGER)", "InvalidInput: no primary key for table u"),
+        (1, "CREATE TABLE u (a INTEGER PRIMARY KEY, b INTEGER PRIMARY KEY)", "InvalidInput: multiple primary keys for table u"),
+        (1, "CREATE TABLE u (a INTEGER PRIMARY KEY NULL)", "InvalidInput: primary key a cannot be nullable"),
+        (1, "CREATE TABLE u (a INTEGER PRIMARY KEY, b INTEGER DEFAULT 1.5)", "InvalidInput: invalid default type FLOAT for INTEGER column b"),
+        (1, "CREATE TABLE u (a INTEGER PRIMARY KEY, b INTEGER NOT NULL DEFAULT NULL)", "InvalidInput: invalid NULL default for non-nullable column b"),
+        (1, "CREATE TABLE u (a INTEGER PRIMARY KEY, b INTEGER REFERENCES missing)", "InvalidInput: unknown table missing referenced by column b"),
+        (1, "CREATE TABLE u (a INTEGER PRIMARY KEY, b STRING REFERENCES t)", "InvalidInput: can't reference INTEGER primary key of t from STRING column b"),
+        (1, "CREATE TABLE u (a INTEGER PRIMARY KEY, a STRING)", "InvalidInput: duplicate column a in table u"),
+        (1, "DROP TABLE missing", "InvalidInput: table missing does not exist"),
+        (1, "DROP TABLE IF EXISTS missing", "DROP TABLE"),
+        (1, "DROP TABLE t", "DROP TABLE"),
+        (1, "SELECT * FROM t", "InvalidInput: table t does not exist"),
+        (1, "BEGIN", "BEGIN"),
+        (1, "CREATE TABLE v (id INTEGER PRIMARY KEY)", "CREATE TABLE"),
+        (2, "SELECT * FROM v", "InvalidInput: table v does not exist"),
+        (1, "SELECT COUNT(*) FROM v", "0"),
+        (1, "ROLLBACK", "ROLLBACK"),
+        (1, "SELECT * FROM v", "InvalidInput: table v does not exist"),
+    ),
+    "transaction_states": _script(
+        (1, "COMMIT", "InvalidInput: not in a transaction"),
+        (1, "ROLLBACK", "InvalidInput: not in a transaction"),
+        (1, "CREATE TABLE t (id INTEGER PRIMARY KEY, v STRING)", "CREATE TABLE"),
+        (1, "BEGIN READ ONLY", "BEGIN"),
+        (1, "BEGIN", "InvalidInput: already in a transaction"),
+        (1, "INSERT INTO t VALUES (1, 'a')", "ReadOnly: read-only transaction"),
+        (1, "CREATE TABLE u (id INTEGER PRIMARY KEY)", "ReadOnly: read-only transaction"),
+        (1, "COMMIT", "COMMIT"),
+        (1, "BEGIN", "BEGIN"),
+        (1, "INSERT INTO t VALUES (1, 'a')", "INSERT 1"),
+        (1, "INSERT INTO t VALUES (1, 'b')", "InvalidInput: primary key 1 already exists"),
+        (1, "SELECT * FROM t", "1, a"),
+        (2, "SELECT COUNT(*) FROM t", "0"),
+        (1, "COMMIT", "COMMIT"),
+        (2, "SELECT * FROM t", "1, a"),
+        (1, "BEGIN", "BEGIN"),
+        (1, "DELETE FROM t", "DELETE 1"),
+        (1, "ROLLBACK", "ROLLBACK"),
+        (1, "SELECT * FROM t", "1, a"),
+        (1, "BEGIN READ ONLY AS OF SYSTEM TIME 999", "InvalidInput: version 999 does not exist"),
+        (1, "BEGIN AS OF SYSTEM TIME 1", "InvalidInput: can't start read-write transaction in a given version"),
+    ),
+    "anomalies": _script(
+        (1, "CREATE TABLE t (id INTEGER PRIMARY KEY, v STRING)", "CREATE TABLE"),
+        (1, "INSERT INTO t VALUES (1, 'a'), (2, 'b')", "INSERT 2"),
+        (1, "BEGIN", "BEGIN"),
+        (2, "BEGIN", "BEGIN"),
+        (1, "UPDATE t SET v = 'dirty' WHERE id = 1", "UPDATE 1"),
+        (2, "SELECT * FROM t ORDER BY id", "1, a; 2, b"),
+        (2, "UPDATE t SET v = 'lost' WHERE id = 1", "Serialization: serialization failure, retry transaction"),
+        (1, "INSERT INTO t VALUES (3, 'phantom')", "INSERT 1"),
+        (1, "COMMIT", "COMMIT"),
+        (2, "SELECT * FROM t ORDER BY id", "1, a; 2, b"),
+        (2, "UPDATE t SET v = 'skew' WHERE id = 2", "UPDATE 1"),
+        (2, "COMMIT", "COMMIT"),
+        (3, "SELECT * FROM t ORDER BY id", "1, dirty; 2, skew; 3, phantom"),
+    ),
+    "dml_counts": _script(
+        (1, "CREATE TABLE t (id INTEGER PRIMARY KEY, v INTEGER INDEX)", "CREATE TABLE"),
+        (1, "INSERT INTO t VALUES (1, 5), (2, 5), (3, NULL)", "INSERT 3"),
+        (1, "UPDATE t SET v = 6 WHERE v = 5", "UPDATE 2"),
+        (1, "SELECT id FROM t WHERE v = 5", ""),
+        (1, "SELECT id FROM t WHERE v = 6 ORDER BY id", "1; 2"),
+        (1, "UPDATE t SET v = 7 WHERE FALSE", "UPDATE 0"),
+        (1, "UPDATE t SET id = id + 10 WHERE id = 3", "UPDATE 1"),
+        (1, "UPDATE t SET id = 1 WHERE id = 2", "InvalidInput: primary key 1 already exists"),
+        (1, "DELETE FROM t WHERE v IS NULL", "DELETE 1"),
+        (1, "DELETE FROM t", "DELETE 2"),
+        (1, "SELECT COUNT(*) FROM t", "0"),
+    ),
+    "name_errors": _script(
+        (1, "CREATE TABLE t (id INTEGER PRIMARY KEY, v INTEGER)", "CREATE TABLE"),
+        (1, "CREATE TABLE u (id INTEGER PRIMARY KEY, w INTEGER)", "CREATE TABLE"),
+        (1, "INSERT INTO t VALUES (1, 2), (3, 2)", "INSERT 2"),
+        (1, "SELECT id FROM t, u", "InvalidInput: ambiguous column id"),
+        (1, "SELECT * FROM t, t", "InvalidInput: duplicate table name t"),
+        (1, "SELECT x FROM t", "InvalidInput: unknown column x"),
+        (1, "SELECT x.id FROM t", "InvalidInput: unknown table x"),
+        (1, "SELECT id FROM t GROUP BY v", "InvalidInput: column id must be used in an aggregate or GROUP BY expression"),
+        (1, "SELECT id", "InvalidInput: expression must be constant, found column id"),
+        (1, "SELECT v FROM t WHERE SUM(v) > 1", "InvalidInput: aggregate functions not allowed in WHERE"),
+        (1, "SELECT SUM(MAX(v)) FROM t", "InvalidInput: aggregate functions can't be nested"),
+        (1, "SELECT v, SUM(id), SUM(id) + 1 FROM t GROUP BY v, v", "2, 4, 5"),
+        (1, "SELECT t.id AS v FROM t ORDER BY v DESC", "3; 1"),
+        (1, "SELECT id FROM t HAVING id > 1", "InvalidInput: HAVING requires GROUP BY or aggregate function"),
+    ),
+    "float_groups": _script(
+        (1, "CREATE TABLE g (id INTEGER PRIMARY KEY, f FLOAT)", "CREATE TABLE"),
+        (1, "INSERT INTO g VALUES (1, NAN), (2, NAN), (3, 0.0), (4, -0.0), (5, NULL), (6, NULL), (7, INFINITY)", "INSERT 7"),
+        (1, "SELECT f, COUNT(*) FROM g GROUP BY f ORDER BY COUNT(*) DESC, MIN(id)", "nan, 2; 0.0, 2; NULL, 2; inf, 1"),
+        (1, "SELECT COUNT(*) FROM g a JOIN g b ON a.f = b.f", "5"),
+        (1, "SELECT f FROM g ORDER BY f, id", "NULL; NULL; 0.0; 0.0; inf; nan; nan"),
+    ),
+}
 _SMALL = "SELECT CAST(1 AS BIGINT) AS id, 'a' AS name, CAST(NULL AS BIGINT) AS nation, CAST(1.5 AS DOUBLE) AS balance, 'none' AS segment"
 WRITES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "insert_rows": (_after("INSERT INTO accounts VALUES (900001, 'new', 1 + 1, 2.5, 'X'), (900002, 'newer', NULL, -1.0, NULL)"), f"{LOADED} UNION ALL SELECT 900001, 'new', 2, 2.5, 'X' UNION ALL SELECT 900002, 'newer', NULL, -1.0, NULL"),
@@ -297,9 +424,8 @@ WRITES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "read_own_writes": (_two_sessions(["BEGIN", "DELETE FROM accounts WHERE id < 5", "UPDATE accounts SET balance = 0.5 WHERE id = 6"], [], [], True), f"SELECT id, CASE WHEN id = 6 THEN 0.5 ELSE balance END AS balance FROM ({LOADED}) WHERE id >= 5"),
     "as_of_read": (as_of_read, LOADED),
     "explain_plan": (explain_plan, None),
-    "constraint_errors": (constraint_errors, None),
-    "conflict_error": (conflict_error, None),
-    "show_create": (show_create, None),
+    "show_create": (show_create, _SHOWN),
+    **SCRIPTS,
 }
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import random
+import tempfile
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -54,6 +57,27 @@ class Result:
     def scalar(self):
         return self.one()[0]
 
+    def _as(self, kind: type, name: str):
+        """The only value of the only row, which must be of this type."""
+        got = self.df.head(2) if self.df is not None else []
+        if len(got) != 1 or len(got[0]) != 1:
+            raise InvalidInput(f"{self.kind} has not exactly one value")
+        if type(got[0][0]) is not kind:
+            raise InvalidInput(f"not {name}: {got[0][0]!r}")
+        return got[0][0]
+
+    def boolean(self) -> bool:
+        return self._as(bool, "a boolean")
+
+    def integer(self) -> int:
+        return self._as(int, "an integer")
+
+    def floating(self) -> float:
+        return self._as(float, "a float")
+
+    def string(self) -> str:
+        return self._as(str, "a string")
+
 
 @dataclass
 class Engine:
@@ -65,10 +89,33 @@ class Engine:
     spark: SparkSession
     root: str | None = None
     external: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
+    #: On opening, tables whose stored rows are stale to this share or more are compacted; None: none are.
+    compact_at: float | None = None
 
     def __post_init__(self):
         self.spark.conf.set("spark.sql.ansi.enabled", "true")
         self.store = Store(self.spark, self.root) if self.root else None
+        if self.store and self.compact_at is not None:
+            self.compact(self.compact_at)
+
+    @classmethod
+    def temporary(cls, spark: SparkSession) -> Engine:
+        """An engine for tests and embedded use on one machine: its store is gone when the process ends."""
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidInput("a temporary store needs a Spark session on one machine")
+        folder = tempfile.TemporaryDirectory(prefix="quartzite-")
+        atexit.register(folder.cleanup)
+        return cls(spark, f"file://{folder.name}/store")
+
+    def compact(self, share: float = 0.0) -> list[str]:
+        """Compact the tables with this share of stale rows or more, while no transaction is active; the names of those that were."""
+        done = []
+        for spec in self.store.tables(self.store.begin(True)):
+            if (stale := self.store.garbage(spec)) > 0 and stale >= share:
+                with contextlib.suppress(Abort, Serialization):  # somebody writes: it can wait
+                    self.store.compact(spec)
+                    done.append(spec.name)
+        return done
 
     def register(self, name: str, df: DataFrame) -> None:
         """Make a DataFrame a read-only table without a primary key."""
@@ -89,6 +136,12 @@ class Engine:
     def session(self) -> Session:
         return Session(self)
 
+    def status(self) -> dict:
+        """Versions, active transactions and the folder of the store."""
+        if self.store is None:
+            raise InvalidInput("the engine has no store")
+        return self.store.status()
+
     def with_retry(self, work: Callable, retries: int = 10, least_s: float = 0.01, most_s: float = 2.0):
         """work() again, after a random and growing wait, while it fails by conflict."""
         for attempt in range(retries + 1):

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import types as T
 
 from ..errors import InvalidInput
+from ..plans.lexer import KEYWORDS
 
 STRUCT = {"BOOLEAN": T.BooleanType(), "INTEGER": T.LongType(), "FLOAT": T.DoubleType(), "STRING": T.StringType()}
 
@@ -63,12 +65,12 @@ class TableSpec:
                 parts.append("PRIMARY KEY")
             elif not c.nullable:
                 parts.append("NOT NULL")
-            if c.has_default and not (c.nullable and c.default is None):
+            if c.has_default:
                 parts.append(f"DEFAULT {_written(c.default, c.type)}")
             if c.name != self.primary_key:
                 if c.unique:
                     parts.append("UNIQUE")
-                elif c.index and not c.references:
+                if c.index:
                     parts.append("INDEX")
             if c.references:
                 parts.append(f"REFERENCES {_name(c.references)}")
@@ -77,7 +79,7 @@ class TableSpec:
 
 
 def _name(name: str) -> str:
-    plain = name.replace("_", "a").isalnum() and name == name.lower() and not name[0].isdigit()
+    plain = re.fullmatch(r"[^\W\d_]\w*", name) and name == name.lower() and name not in KEYWORDS
     return name if plain else '"' + name.replace('"', '""') + '"'
 
 

@@ -35,7 +35,7 @@ def _norm(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["flagship", "left_where_null", "avg_int_truncating", "float_division_by_zero", "join_nan_keys", "group_by_null", "limit_offset", "update_pk", "as_of_read", "snapshot_read"])
+@pytest.mark.parametrize("name", ["flagship", "left_where_null", "avg_int_truncating", "float_division_by_zero", "join_nan_keys", "group_by_null", "limit_offset", "update_pk", "as_of_read", "snapshot_read", "show_create", *queries.SCRIPTS])
 def test_registry(spark, name):
     con = duckdb.connect()
     for t in queries.TABLES:

@@ -26,7 +26,7 @@ def fails(session, sql, error=InvalidInput):
 def test_create_and_show(db):
     db.execute('CREATE TABLE "T x" (id INT PRIMARY KEY, a VARCHAR NOT NULL DEFAULT \'x\', b DOUBLE UNIQUE, c BOOL INDEX, d TEXT DEFAULT NULL)')
     text = db.table("T x").show_create()
-    assert text.startswith('CREATE TABLE "T x" (') and "a STRING NOT NULL DEFAULT 'x'" in text and "b FLOAT UNIQUE" in text and "c BOOLEAN INDEX" in text
+    assert text.startswith('CREATE TABLE "T x" (') and "a STRING NOT NULL DEFAULT 'x'" in text and "b FLOAT DEFAULT NULL UNIQUE INDEX" in text and "c BOOLEAN DEFAULT NULL INDEX" in text and "d STRING DEFAULT NULL\n" in text
     for bad in (
         "(a INT)", "(a INT PRIMARY KEY, b INT PRIMARY KEY)", "(a INT PRIMARY KEY NULL)", "(a INT PRIMARY KEY, b INT NOT NULL DEFAULT NULL)", "(a INT PRIMARY KEY, b INT DEFAULT 1.5)",
         "(a INT PRIMARY KEY, a INT)", "(a INT PRIMARY KEY, b INT REFERENCES nope)", "(a INT PRIMARY KEY, b STRING REFERENCES bad)", "(a INT PRIMARY KEY, b INT DEFAULT a)", "()",
@@ -232,3 +232,86 @@ def test_explain(db):
     assert "Delete: t" in db.execute("EXPLAIN DELETE FROM t WHERE id = 1").text
     fails(db, "EXPLAIN EXPLAIN SELECT 1")
     assert rows(db, "SELECT * FROM t") == []
+
+
+def test_schema_text_is_sql(db):
+    db.execute('CREATE TABLE "select" (id INT PRIMARY KEY, "index" INT UNIQUE, ref INT REFERENCES "select")')
+    text = db.table("select").show_create()
+    assert text == 'CREATE TABLE "select" (\n  id INTEGER PRIMARY KEY,\n  "index" INTEGER DEFAULT NULL UNIQUE INDEX,\n  ref INTEGER DEFAULT NULL INDEX REFERENCES "select"\n)'
+    db.execute('DROP TABLE "select"')
+    db.execute(text)
+    assert db.table("select").show_create() == text
+
+
+@pytest.mark.parametrize("early", [True, False])
+def test_compaction_loses_no_concurrent_write(db, monkeypatch, early):
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, v STRING)")
+    db.execute("INSERT INTO t VALUES (1, 'a'), (2, 'b')")
+    db.execute("UPDATE t SET v = 'c' WHERE id = 1")
+    store, other = db.engine.store, db.engine.session()
+    write = store.write
+
+    def slow_write(*given, **named):
+        n = write(*given, **named)
+        monkeypatch.setattr(store, "write", write)
+        other.execute("BEGIN")
+        if early:
+            other.execute("INSERT INTO t VALUES (3, 'new')")
+        return n
+
+    monkeypatch.setattr(store, "write", slow_write)
+    if early:
+        with pytest.raises(Serialization):
+            # The other transaction finds the new definition; had it not looked, the compaction would find its rows.
+            store.compact(db.table("t"))
+    else:
+        store.compact(db.table("t"))
+        fails(other, "INSERT INTO t VALUES (3, 'new')", Serialization)
+        other.execute("ROLLBACK")
+        other.execute("BEGIN")
+        other.execute("INSERT INTO t VALUES (3, 'new')")
+        other.execute("COMMIT")
+        assert rows(db, "SELECT * FROM t") == [(1, "c"), (2, "b"), (3, "new")]
+
+
+def test_compaction_gives_up_when_rows_came(db, monkeypatch):
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, v STRING)")
+    db.execute("INSERT INTO t VALUES (1, 'a')")
+    db.execute("UPDATE t SET v = 'c'")
+    store, other, spec = db.engine.store, db.engine.session(), db.table("t")
+    put = store.put_table
+
+    def late_put(*given):  # another transaction writes after the compaction began and before its definition is there
+        other.execute("BEGIN")
+        other.execute("INSERT INTO t VALUES (3, 'new')")
+        monkeypatch.setattr(store, "put_table", put)
+        put(*given)
+
+    monkeypatch.setattr(store, "put_table", late_put)
+    with pytest.raises(Serialization):
+        store.compact(spec)
+    other.execute("COMMIT")
+    assert rows(db, "SELECT * FROM t") == [(1, "c"), (3, "new")]
+
+
+def test_compaction_on_opening(db, spark):
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, v STRING)")
+    db.execute("INSERT INTO t VALUES (1, 'a'), (2, 'b')")
+    db.execute("UPDATE t SET v = 'c'")
+    before = db.table("t").folder
+    assert Engine(spark, db.engine.root, compact_at=0.9).store.garbage(db.table("t")) == 0.5 and db.table("t").folder == before
+    Engine(spark, db.engine.root, compact_at=0.5)
+    assert db.table("t").folder != before and db.engine.store.garbage(db.table("t")) == 0 and rows(db, "SELECT * FROM t") == [(1, "c"), (2, "c")]
+
+
+def test_temporary_store_and_typed_values(spark):
+    engine = Engine.temporary(spark)
+    with engine.session() as s:
+        s.execute("CREATE TABLE t (id INT PRIMARY KEY, f FLOAT, b BOOLEAN, s STRING)")
+        s.execute("INSERT INTO t VALUES (1, 2.5, TRUE, 'x')")
+        assert s.execute("SELECT id FROM t").integer() == 1 and s.execute("SELECT f FROM t").floating() == 2.5
+        assert s.execute("SELECT b FROM t").boolean() is True and s.execute("SELECT s FROM t").string() == "x"
+        for sql in ("SELECT b FROM t", "SELECT id, f FROM t", "SELECT id FROM t WHERE FALSE"):
+            with pytest.raises(InvalidInput):
+                s.execute(sql).integer()
+    assert engine.status()["active"] == []
