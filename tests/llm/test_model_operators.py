@@ -98,22 +98,73 @@ def test_toxicity_without_labels_or_rows(spark):
 # Licences.
 
 
+@pytest.fixture(scope="module")
+def licence_model():
+    rng = random.Random(1)
+    return licenses.Classifier([" ".join(rng.choice("some plain text to see in this line of the work here".split()) for _ in range(12)) for _ in range(200)])
+
+
 def test_licences(spark):
     clean = ["The licence of the driver was old.", "Nothing here.", "a version of the work", ""]
-    rows = [(1, "intro\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0."), (3, "\n".join(clean)), (4, None), (5, "x " * 50_000), (5, "SPDX-License-Identifier: MPL-2.0")]
+    rows = [(1, "intro\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0."), (3, "\n".join(clean)), (4, None), (5, "x " * 50_000), (5, "SPDX-License-Identifier: MPL-2.0"), (6, "")]
     docs = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, licences string")
-    got = sorted((r.doc_id, r.licences) for r in licenses.scan(docs, licenses.train(docs)).collect())
-    assert got == [(1, ["MIT"]), (2, ["Apache-2.0", "CC-BY-NC"]), (3, []), (4, []), (5, []), (5, ["MPL-2.0"])]
-    assert licenses.scan(docs.limit(0), licenses.train(docs.limit(0))).count() == 0
+    model = licenses.train(docs)
+    got = sorted((r.doc_id, r.licences, [p.line for p in r.paragraphs]) for r in licenses.scan(docs, model).collect())
+    assert [g[:2] for g in got] == [(1, ["MIT"]), (2, ["Apache-2.0", "CC-BY-NC-4.0"]), (3, []), (4, []), (5, []), (5, ["MPL-2.0"]), (6, [])]
+    assert got[0][2] == [1] and licenses.scan(docs.limit(0), model).count() == 0
+    assert licenses.train(docs.limit(0)).licences("Released under the MIT License.")[0] == ["MIT"]
 
 
-def test_every_template_is_its_family():
-    model = licenses.Classifier(["some plain text here", "nothing to see in this line"] * 50)
-    wrong = [(f, n, model.classify(n)) for f, ns in licenses.TEMPLATES.items() for n in ns if (model.classify(n) or ("",))[0] != f]
+def test_every_template_is_its_family(licence_model):
+    wrong = [(f, n, got) for f, ns in licenses.templates().items() for n in ns if (got := licence_model.classify(licenses.words(n)[: licenses.WINDOW])) is None or got[0] != f]
     assert not wrong
     rng = random.Random(1)
-    plain = [" ".join(rng.choice("the of work under public version free license all person software".split()) for _ in range(9)) for _ in range(300)]
-    assert np.mean([model.classify(p) is not None for p in plain]) < 0.02
+    plain = [[rng.choice("the of work under public version free license all person software".split()) for _ in range(9)] for _ in range(300)]
+    assert np.mean([licence_model.classify(p) is not None for p in plain]) < 0.02
+
+
+def test_licence_versions_denials_and_places(licence_model):
+    old = "This {} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {}\nas published by the Free Software Foundation; either\nversion {} of the License, or (at your option) any later version."
+    cases = {
+        old.format("library", "Lesser General Public License", "2.1"): ["LGPL-2.1"],
+        old.format("program", "General Public License", "2"): ["GPL-2.0"],
+        old.format("program", "General Public License", "3"): ["GPL-3.0"],
+        "\n".join(licenses.TEXTS["BSD"][:3]): ["BSD-2-Clause"],
+        "\n\n".join(licenses.TEXTS["BSD"][:3] + licenses.TEXTS["BSD-3-Clause"][:1]): ["BSD-3-Clause"],
+        "This work is not licensed under the MIT License.": [],
+        "It is no longer licensed under the Apache License, Version 2.0.": [],
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,\nEXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY': ["MIT"],
+        "Apache License\nVersion 2.0, January 2004": ["Apache-2.0"],
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3": ["GPL-3.0"],
+        "plain words here " * 90 + "Released under the MIT License. " + "and more of them " * 90: ["MIT"],
+        "Licensed under the Apache License,\nVersion 2.0.": ["Apache-2.0"],
+        "Licensed under the Apache License, Version 1.1.": [],
+    }
+    assert {t: licence_model.licences(t)[0] for t in cases} == cases
+
+
+def test_template_comparison_is_brute_force():
+    rng = random.Random(4)
+    for _ in range(500):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(1, 14))] for _ in range(2))
+        t = licenses.Template(" ".join(a))
+        both = sum((x, y) in {(b[i], b[i + 1]) for i in range(len(b) - 1)} for x, y in {(a[i], a[i + 1]) for i in range(len(a) - 1)})
+        every = len({(a[i], a[i + 1]) for i in range(len(a) - 1)})
+        assert t.share(b) == both / max(1, every)
+        if t.share(b) >= licenses.CONFIRMED:
+            assert t.met(b) == (t.share(b), 2 * both)
+    version = licenses.Template("Apache License, Version 2.0, January 2004")
+    assert version.met(licenses.words("the Apache License, Version 2.0, January 2004"))[1] == 10 and version.met(licenses.words("Apache License, Version 1.1, January 2004")) == (0.0, 0)
+
+
+def test_licence_bound_is_exact(licence_model):
+    rng = random.Random(3)
+    known = sorted(licence_model.vocabulary)
+    for _ in range(300):
+        w = " ".join(rng.choice(known) for _ in range(rng.randrange(1, 12))).split()
+        p = licenses._softmax(licence_model._logits(w)[None] / licence_model.heat)[0]
+        if 1 - p[-1] >= min(licence_model.least.values()):
+            assert licence_model.base + sum(licence_model.gain.get(g, 0.0) for g in licenses.grams(w)) >= licence_model.need
 
 
 # URL lists.
