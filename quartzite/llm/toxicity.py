@@ -11,8 +11,8 @@ second-person word for more. Sums of these weights feed a logistic regression.
 The model is fitted on at most MAX_TOXIC + MAX_CLEAN labelled rows, chosen by a
 hash of doc_id, in one task; terms are learned on one half of them and weighed
 on the other, both ways round, so that weights are those of unseen texts. The
-model that comes back to the driver is a list of at most MAX_TERMS terms and a
-few numbers.
+model that comes back to the driver is a list of the terms that these rows teach
+and a few numbers.
 
 Defined cases: null text counts as empty and, as every text without hits, has
 the base score; rows with a null doc_id are scored but never learned from or
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, dropped, fresh
 
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4000, 8000, 2000
+MAX_TOXIC, MAX_CLEAN = 4000, 8000
 MIN_FUZZY, CACHED_WORDS, CACHED_BYTES = 5, 200_000, 80
 WINDOW, QUOTED, ADDRESSED = 4, 0.3, 1.5
 
@@ -177,9 +177,8 @@ def learned_terms(texts: Iterable[str], toxic: np.ndarray) -> dict[str, float]:
         terms: set[str] = set()
         for w in set(words(text)):
             s = w.decode("utf-8", "replace")
-            if len(s) <= 40:
-                terms.add(s)
-                terms.update(s[:n] + "*" for n in range(4, min(9, len(s) + 1)))
+            terms.add(s)
+            terms.update(s[:n] + "*" for n in range(4, min(9, len(s) + 1)))
         seen[int(y)].update(terms)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     often = {t: k for t, k in seen[1].items() if k >= max(3, n1 * 0.003) and len(t.rstrip("*")) >= 3}
@@ -199,8 +198,7 @@ def learned_terms(texts: Iterable[str], toxic: np.ndarray) -> dict[str, float]:
         letters = t.rstrip("*")
         return any(odds.get(letters[:n] + "*", 0) >= odds[t] - 0.7 for n in range(4, len(letters) + (not t.endswith("*"))))
 
-    kept = sorted(((v, t) for t, v in odds.items() if not told(t)), key=lambda x: (-x[0] * seen[1][x[1]], x[1]))
-    return {t: v for v, t in kept[:MAX_TERMS]}
+    return {t: odds[t] for t in sorted(odds) if not told(t)}
 
 
 def _lexicon(learned: dict[str, float]) -> Lexicon:
@@ -250,10 +248,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     y = y.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {k: min(1.0, most / max(1, counts.get(k, 0))) for k, most in ((0, MAX_CLEAN), (1, MAX_TOXIC))}
-    drawn = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < F.when(F.col("y") == 1, share[1] * 1_000_000).otherwise(share[0] * 1_000_000)
+    by_hash = F.xxhash64(F.lit("toxicity"), "doc_id")
+    drawn = y.where("y = 1").orderBy(by_hash, "doc_id").limit(MAX_TOXIC).unionByName(y.where("y = 0").orderBy(by_hash, "doc_id").limit(MAX_CLEAN))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # The drawn ids are bounded by the two parameters, so they are sent out and no text is shuffled but theirs.
-    rows = d.join(F.broadcast(y.where(drawn)), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = d.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "text"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
