@@ -16,8 +16,8 @@ shared folder before the next.
 Words: A-Z lower-cased, then runs of ASCII letters, ASCII digits and non-ASCII
 characters. Defined cases: null and empty texts have no words, are not
 contaminated and stay as they are; items without words match nothing; items
-that repeat an id count once; items with a null id are passed over;
-repeated rows are judged alike; empty tables give empty results or no hits;
+that repeat an id count once; items with a null id hit words and are not
+listed; repeated rows are judged alike; empty tables give empty results or no hits;
 other columns are carried, whatever their names.
 """
 

@@ -5,7 +5,8 @@ far more frequent in toxic documents. They form one trie. A text's word walks
 a lazily built deterministic automaton whose states are sets of (trie node,
 edits so far): the intersection of the trie with the Levenshtein automaton of
 the word, so a misspelled term is found in time of the word's length. A hit
-inside quotation marks or after a reporting word counts for less, one beside a
+inside quotation marks (read from left to right, in one line, none inside
+another) or after a reporting word counts for less, one beside a
 second-person word for more. Sums of these weights feed a logistic regression.
 
 The model is fitted on at most MAX_TOXIC + MAX_CLEAN labelled rows, chosen by a
