@@ -9,23 +9,24 @@ inside quotation marks (read from left to right, in one line, none inside
 another) or after a reporting word counts for less, one beside a
 second-person word for more. Sums of these weights feed a logistic regression.
 
-The model is fitted on at most MAX_TOXIC + MAX_CLEAN labelled rows, chosen by a
-hash of doc_id, in one task; terms are learned on one half of them and weighed
-on the other, both ways round, so that weights are those of unseen texts. The
-model that comes back to the driver is a list of the terms that these rows teach
-and a few numbers.
+The model is fitted on at most MAX_TOXIC + MAX_CLEAN labelled documents, chosen
+by a hash of doc_id; terms are learned on one half of them and weighed on the
+other, both ways round, so that weights are those of unseen texts. Terms are
+counted and features made where the texts lie. What comes to the driver are the
+terms that tell the classes apart and N_FEATURES numbers for each of these
+documents, for the regression.
 
 Defined cases: null text counts as empty and, as every text without hits, has
 the base score; rows with a null doc_id are scored but never learned from or
-held out; of repeated labels of a doc_id the highest counts; without any
-labelled row of both kinds the seed list alone scores; an empty table gives
-an empty table; other columns are ignored.
+held out; of repeated labels of a doc_id the highest counts, of repeated texts
+of one the least is learned from; without any labelled row of both kinds the
+seed list alone scores; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import bisect
-import json
 import math
 import re
 import unicodedata
@@ -37,10 +38,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dropped, fresh
+from .common import bounded_batches, dropped, fresh, saved, trim
 
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
 MIN_FUZZY, CACHED_WORDS, CACHED_BYTES = 5, 200_000, 80
+MIN_SHARE, MIN_ODDS, COUNTED_TERMS = 0.003, 1.5, 500_000
 WINDOW, QUOTED, ADDRESSED = 4, 0.3, 1.5
 
 #: Insults that every model starts from.
@@ -171,28 +173,37 @@ def _quoted(text: str, found: list[bytes]) -> list[tuple[int, int]]:
     return [(bisect.bisect_left(starts, m.start()), bisect.bisect_left(starts, m.end())) for m in _QUOTES.finditer(text)]
 
 
-def learned_terms(texts: Iterable[str], toxic: np.ndarray) -> dict[str, float]:
-    """Words and stems by their log odds in toxic documents, for those that are frequent there and rare elsewhere."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, y in zip(texts, toxic, strict=True):
-        terms: set[str] = set()
-        for w in set(words(text)):
-            s = w.decode("utf-8", "replace")
-            terms.add(s)
-            terms.update(s[:n] + "*" for n in range(4, min(9, len(s) + 1)))
-        seen[int(y)].update(terms)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    often = {t: k for t, k in seen[1].items() if k >= max(3, n1 * 0.003) and len(t.rstrip("*")) >= 3}
+def terms_of(text: str) -> set[str]:
+    """The words and stems of a text."""
+    terms: set[str] = set()
+    for w in set(words(text)):
+        s = w.decode("utf-8", "replace")
+        terms.add(s)
+        terms.update(s[:n] + "*" for n in range(4, min(9, len(s) + 1)))
+    return terms
+
+
+def _least(n1: int) -> float:
+    """In how many of n1 toxic documents a term must be."""
+    return max(3, n1 * MIN_SHARE)
+
+
+def telling(counts: Iterable[tuple[str, int, int]], n1: int, n0: int, n_often: int) -> dict[str, float]:
+    """Log odds of terms, for those that are frequent in toxic documents and rare elsewhere.
+
+    counts: term, toxic and other documents with it, of n1 and n0; n_often: how many terms are frequent in toxic documents.
+    """
+    n1, n0 = max(1, n1), max(1, n0)
     share = n1 / (n1 + n0)
     # Chernoff's bound on the chance that a term without meaning falls on toxic documents so often, with allowance for the number of terms.
-    sure = math.log(max(2, len(often)))
+    sure = math.log(max(2, n_often))
     odds = {}
-    for t, k in often.items():
-        n = k + seen[0][t]
-        p = k / n
-        if p > share and n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)) >= sure:
-            odds[t] = math.log((k + 0.5) / (n1 + 1)) - math.log((seen[0][t] + 0.5) / (n0 + 1))
-    odds = {t: v for t, v in odds.items() if v >= 1.5}
+    for t, k, k0 in counts:
+        n = k + k0
+        p = k / n if n else 0.0
+        if k >= _least(n1) and p > share and n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)) >= sure:
+            odds[t] = math.log((k + 0.5) / (n1 + 1)) - math.log((k0 + 0.5) / (n0 + 1))
+    odds = {t: v for t, v in odds.items() if v >= MIN_ODDS}
 
     def told(t: str) -> bool:
         """Whether a shorter stem says as much."""
@@ -223,20 +234,74 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
     return mean, scale, b
 
 
-def fit_model(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> dict:
-    """terms, and mean, scale and b of the regression. weight undoes the sampling of the classes."""
-    if len(set(toxic.tolist())) < 2:
-        return {"terms": {}, "mean": [0.0] * N_FEATURES, "scale": [1.0] * N_FEATURES, "b": [-3.0, 2.0] + [0.0] * (N_FEATURES - 1)}
-    fold = np.zeros(len(texts), int)
-    for y in (0, 1):
-        fold[np.flatnonzero(toxic == y)[::2]] = 1
-    x = np.zeros((len(texts), N_FEATURES))
-    for f in (0, 1):
-        lexicon = _lexicon(learned_terms([t for t, k in zip(texts, fold, strict=True) if k != f], toxic[fold != f]))
-        for i in np.flatnonzero(fold == f):
-            x[i] = lexicon.features(texts[i])
-    mean, scale, b = _fit(x, toxic, weight)
-    return {"terms": learned_terms(texts, toxic), "mean": mean.tolist(), "scale": scale.tolist(), "b": b.tolist()}
+def _untaught() -> dict:
+    return {"terms": {}, "mean": [0.0] * N_FEATURES, "scale": [1.0] * N_FEATURES, "b": [-3.0, 2.0] + [0.0] * (N_FEATURES - 1)}
+
+
+def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many documents of these each term is, by slot; in pieces of bounded size, whose counts add up."""
+    seen: Counter = Counter()
+
+    def piece() -> pd.DataFrame:
+        out = pd.DataFrame([(t, slot, n) for (t, slot), n in seen.items()], columns=["term", "slot", "n"])
+        seen.clear()
+        return out
+
+    try:
+        for pdf in parts:
+            for text, slot in zip(pdf["text"], pdf["slot"], strict=True):
+                seen.update((t, slot) for t in terms_of(text))
+                if len(seen) >= COUNTED_TERMS:
+                    yield piece()
+        yield piece()
+    finally:
+        trim()
+
+
+def _taught(rows: DataFrame, n: list[int]) -> list[dict[str, float]]:
+    """Terms that documents outside of half 0, outside of half 1, and all teach. slot is the half, and 2 more for toxic ones; n counts rows by slot."""
+    fits = ((1,), (0,), (0, 1))
+    by_slot = [F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(4)]
+    counts = rows.select("text", "slot").mapInPandas(_counted, "term string, slot int, n long").groupBy("term").agg(*by_slot)
+    k1 = [sum((F.col(f"n{2 + h}") for h in halves), F.lit(0)) for halves in fits]
+    k0 = [sum((F.col(f"n{h}") for h in halves), F.lit(0)) for halves in fits]
+    n1 = [sum(n[2 + h] for h in halves) for halves in fits]
+    n0 = [sum(n[h] for h in halves) for halves in fits]
+    often = [k >= F.lit(float(_least(m))) for k, m in zip(k1, n1, strict=True)]
+    # Shorter terms are no lexicon terms. The share of toxic rows alone decides little, the odds leave few terms; telling() decides to the last digit.
+    frequent = saved(counts.where((F.length(F.rtrim(F.col("term"), F.lit("*"))) >= 3) & (often[0] | often[1] | often[2])), "toxicity-terms")
+    n_often = frequent.agg(*[F.count(F.when(o, 1)).alias(f"f{i}") for i, o in enumerate(often)]).first()
+    odds = [F.log((a + 0.5) / (m1 + 1)) - F.log((b + 0.5) / (m0 + 1)) for a, b, m1, m0 in zip(k1, k0, n1, n0, strict=True)]
+    near = [o & (v >= MIN_ODDS - 0.01) for o, v in zip(often, odds, strict=True)]
+    found = frequent.where(near[0] | near[1] | near[2]).collect()
+    return [
+        telling([(r["term"], sum(r[f"n{2 + h}"] for h in halves), sum(r[f"n{h}"] for h in halves)) for r in found], n1[i], n0[i], n_often[i])
+        for i, halves in enumerate(fits)
+    ]
+
+
+def fit_model(rows: DataFrame, weight: dict[int, float]) -> dict:
+    """terms, and mean, scale and b of the regression, from rows of text, y and half (0 or 1). weight undoes the sampling of the classes."""
+    bounded_batches(rows.sparkSession)
+    rows = rows.withColumn("slot", (2 * F.col("y") + F.col("half")).cast("int"))
+    n = [0] * 4
+    for r in rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect():
+        n[r["slot"]] = r["n"]
+    if not n[0] + n[1] or not n[2] + n[3]:
+        return _untaught()
+    *others, terms = _taught(rows, n)
+    sent = rows.sparkSession.sparkContext.broadcast(others)
+
+    def weighed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicons = [_lexicon(t) for t in sent.value]
+        with dropped(*(c for x in lexicons for c in (x.known, x.moves))):
+            for pdf in parts:
+                yield pd.DataFrame({"y": pdf["slot"] // 2, "x": [lexicons[s % 2].features(t) for t, s in zip(pdf["text"], pdf["slot"], strict=True)]})
+
+    got = sorted((r["y"], r["x"]) for r in rows.select("text", "slot").mapInPandas(weighed, "y int, x array<double>").collect())
+    y = np.array([k for k, _ in got])
+    mean, scale, b = _fit(np.array([x for _, x in got]), y, np.where(y == 1, weight[1], weight[0]))
+    return {"terms": terms, "mean": mean.tolist(), "scale": scale.tolist(), "b": b.tolist()}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -253,16 +318,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     drawn = y.where("y = 1").orderBy(by_hash, "doc_id").limit(MAX_TOXIC).unionByName(y.where("y = 0").orderBy(by_hash, "doc_id").limit(MAX_CLEAN))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # The drawn ids are bounded by the two parameters, so they are sent out and no text is shuffled but theirs.
-    rows = d.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "text"])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"])
-        toxic = pdf["y"].to_numpy(int)
-        weight = np.where(toxic == 1, 1 / share[1], 1 / share[0])
-        return pd.DataFrame({"model": [json.dumps(fit_model(pdf["text"].tolist(), toxic, weight))]})
-
-    got = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "model string").collect()
-    return json.loads(got[0]["model"]) if got else fit_model([], np.zeros(0, int), np.zeros(0))
+    rows = d.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("half", (F.xxhash64(F.lit("toxicity half"), "doc_id") % 2 != 0).cast("int"))
+    # Spread by number, so that adaptive execution does not put these few rows in one task.
+    spread = max(2, min(200, docs.sparkSession.sparkContext.defaultParallelism))
+    return fit_model(saved(rows.repartition(spread, "doc_id"), "toxicity-rows"), {k: 1 / v for k, v in share.items()})
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:

@@ -78,9 +78,52 @@ def brute_score(text, model):
     return 1 / (1 + math.exp(-min(30, max(-30, z))))
 
 
-def test_toxicity_score_is_brute_force():
+def brute_terms(rows):
+    """What (text, toxic) rows teach: every term of every text counted afresh, bounds and odds as exact as floats allow."""
+    texts = [({w for w in re.findall(r"[0-9a-z]+", text.lower())}, y) for text, y in rows]
+    sets = [(s | {w[:n] + "*" for w in s for n in range(4, min(8, len(w)) + 1)}, y) for s, y in texts]
+    n1, n0 = sum(y for _, y in sets), sum(1 - y for _, y in sets)
+    count = {t: [sum(t in s for s, y in sets if y == c) for c in (0, 1)] for t in set().union(*(s for s, _ in sets))}
+    often = {t: c for t, c in count.items() if c[1] >= max(3, 0.003 * n1) and len(t.replace("*", "")) >= 3}
+    share, odds = n1 / (n1 + n0), {}
+    for t, (c0, c1) in often.items():
+        p = c1 / (c0 + c1)
+        gain = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)
+        v = math.log((c1 + 0.5) / (n1 + 1) * (n0 + 1) / (c0 + 0.5))
+        if p > share and (c0 + c1) * gain >= math.log(max(2, len(often))) and v >= 1.5:
+            odds[t] = v
+    return {t: v for t, v in odds.items() if not any(s != t and s.endswith("*") and t.startswith(s[:-1]) and odds[s] >= v - 0.7 for s in odds)}
+
+
+def test_learned_terms_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "COUNTED_TERMS", 50)  # counts of a task come in many pieces
+    rows = _labelled(500, seed=4)
+    d = spark.createDataFrame([(t, y, i % 2) for i, t, y in rows], "text string, y int, half int").repartition(5)
+    want = brute_terms([(t, y) for _, t, y in rows])
+    got = toxicity.fit_model(d, {0: 1.0, 1: 1.0})["terms"]
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in got) and {"blur*", "idio*"} <= got.keys()
+    again = toxicity.fit_model(d.repartition(2), {0: 1.0, 1: 1.0})
+    assert again["terms"] == got and again["b"] == toxicity.fit_model(d, {0: 1.0, 1: 1.0})["b"]
+
+
+def test_a_documents_least_text_is_learned_from(spark, monkeypatch):
+    rows = _labelled(400, seed=6)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    once = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    more = spark.createDataFrame([(i, t + " more") for i, t, _ in rows for _ in range(2)], "doc_id long, text string")
+    model = toxicity.train(once, labels)
+    assert model["terms"] and toxicity.train(once.unionByName(more), labels) == model
+    seen = []
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 10)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 20)
+    monkeypatch.setattr(toxicity, "fit_model", lambda rows, weight: seen.append({r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}))
+    toxicity.train(once.unionByName(more), labels)
+    assert seen == [{0: 20, 1: 10}]
+
+
+def test_toxicity_score_is_brute_force(spark):
     rows = _labelled(300)
-    model = toxicity.fit_model([t for _, t, _ in rows], np.array([y for *_, y in rows]), np.ones(len(rows)))
+    model = toxicity.fit_model(spark.createDataFrame([(t, y, i % 2) for i, t, y in rows], "text string, y int, half int"), {0: 1.0, 1: 1.0})
     rng = random.Random(5)
     parts = "idiot id1ot idiots scum skum stupidd moron blurkheit blurrkt blurk trash You dein said wrote house über, ta.len kun ro sel—mi \n \" “ ” « » ( ) x".split(" ")
     texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(0, 30))) for _ in range(250)]
