@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, dropped, fresh, saved, trim
 
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
-MIN_FUZZY, CACHED_WORDS, CACHED_BYTES = 5, 200_000, 80
+MIN_FUZZY, CACHED_WORDS, CACHED_BYTES, CACHED_STATES = 5, 200_000, 80, 20_000
 MIN_SHARE, MIN_ODDS, COUNTED_TERMS = 0.003, 1.5, 500_000
 WINDOW, QUOTED, ADDRESSED = 4, 0.3, 1.5
 
@@ -65,6 +65,36 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+class _State(dict):
+    """A set of (trie node, edits so far): the state that each letter leads to, made when first asked for, and the best (edits, -weight, term) of stems and of whole terms that end here."""
+
+    __slots__ = ("lexicon", "nodes", "other", "stem", "whole")
+
+    def __init__(self, lexicon: Lexicon, nodes: frozenset):
+        self.lexicon, self.nodes, self.other = lexicon, nodes, None
+        self.stem, self.whole = (
+            min(((e, -lexicon.terms[t], t) for n, e in nodes if (t := column[n]) and (not e or lexicon.fuzzy[n])), default=None)
+            for column in (lexicon.stem, lexicon.whole)
+        )
+
+    def __missing__(self, ch: str) -> _State:
+        if ch in self.lexicon.letters:
+            to = self[ch] = self.lexicon.move(self.nodes, ch)
+            return to
+        if self.other is None:  # all letters that no term has lead to one state
+            self.other = self.lexicon.move(self.nodes, ch)
+        return self.other
+
+
+class _Known(dict):
+    """What each word was found to be."""
+
+    __slots__ = ("look",)
+
+    def __missing__(self, word: bytes) -> tuple[str, int] | None:
+        return self.look(word)
+
+
 class Lexicon:
     """Terms with weights: whole words, and stems ("idio*") that any ending may follow; one edit is free in longer ones."""
 
@@ -84,62 +114,70 @@ class Lexicon:
                         column.append(v)
             (self.stem if term.endswith("*") else self.whole)[at] = term
             self.fuzzy[at] = len(letters) >= MIN_FUZZY
-        self.start = self._closed({(0, 0)})
-        self.moves: dict[frozenset, dict[str, frozenset]] = {}
-        self.known: dict[bytes, tuple[str, int] | None] = {}
-
-    def _closed(self, states: set[tuple[int, int]]) -> frozenset:
-        """With the states that one left-out letter reaches."""
-        more = {(child, 1) for node, edits in states if not edits for child in self.children[node].values()}
-        return frozenset(states | {s for s in more if (s[0], 0) not in states})
-
-    def _move(self, states: frozenset, ch: str) -> frozenset:
-        to = self.moves.setdefault(states, {}).get(ch)
-        if to is None:
-            got: set[tuple[int, int]] = set()
-            for node, edits in states:
-                if ch in self.children[node]:
-                    got.add((self.children[node][ch], edits))
-                if not edits:
-                    got.add((node, 1))
-                    got.update((child, 1) for c, child in self.children[node].items() if c != ch)
-            to = self.moves[states][ch] = self._closed({(n, e) for n, e in got if not e or (n, 0) not in got})
-        return to
+        self.letters = frozenset(ch for c in self.children for ch in c)
+        self.states: dict[frozenset, _State] = {}
+        self.start: _State | None = None
+        self.known = _Known()
+        self.known.look = self.look
+
+    def _state(self, nodes: set[tuple[int, int]]) -> _State:
+        """The state of these and of those that one left-out letter reaches."""
+        more = {(child, 1) for node, edits in nodes if not edits for child in self.children[node].values()}
+        key = frozenset(nodes | {s for s in more if (s[0], 0) not in nodes})
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = _State(self, key)
+        return state
+
+    def _started(self) -> _State:
+        self.start = self._state({(0, 0)})
+        return self.start
+
+    def move(self, nodes: frozenset, ch: str) -> _State:
+        got: set[tuple[int, int]] = set()
+        for node, edits in nodes:
+            if ch in self.children[node]:
+                got.add((self.children[node][ch], edits))
+            if not edits:
+                got.add((node, 1))
+                got.update((child, 1) for c, child in self.children[node].items() if c != ch)
+        return self._state({(n, e) for n, e in got if not e or (n, 0) not in got})
 
     def look(self, word: bytes) -> tuple[str, int] | None:
         """The term that a word is or misspells, with the edits, or None. Fewest edits, then the heaviest term."""
-        try:
-            return self.known[word]
-        except KeyError:
-            pass
-        best: tuple[int, float, str] | None = None
-        states = self.start
-        text = word.decode("utf-8", "replace")
-        for i, ch in enumerate(text):
-            states = self._move(states, ch)
-            if not states:
+        state = self._started() if self.start is None else self.start
+        best = None
+        for ch in word.decode("utf-8", "replace"):
+            state = state[ch]
+            if not state.nodes:
                 break
-            last = i + 1 == len(text)
-            for node, edits in states:
-                for term in (self.stem[node], self.whole[node] if last else None):
-                    if term and (not edits or self.fuzzy[node]):
-                        rank = (edits, -self.terms[term], term)
-                        best = rank if best is None or rank < best else best
+            if state.stem and (best is None or state.stem < best):
+                best = state.stem
+        if state.whole and (best is None or state.whole < best):
+            best = state.whole
+        found = best and (best[2], best[0])
         if len(self.known) >= CACHED_WORDS:
             self.known.clear()
-        if len(self.moves) >= CACHED_WORDS:
-            self.moves.clear()
-        found = best and (best[2], best[0])
+        if len(self.states) >= CACHED_STATES:
+            self.forget()
         if len(word) <= CACHED_BYTES:
             self.known[word] = found
         return found
 
+    def forget(self) -> None:
+        """Drop all states; they are made again as words need them."""
+        for state in self.states.values():
+            state.clear()
+            state.other = None
+        self.states.clear()
+        self.start = None
+
     def features(self, text: str) -> list[float]:
         found = words(text)
-        look, known = self.look, self.known
-        hits = [(i, h) for i, w in enumerate(found) if (h := known[w] if w in known else look(w))]
-        if not hits:
+        is_term = list(map(self.known.__getitem__, found))
+        if not any(is_term):
             return [0.0] * N_FEATURES
+        hits = [(i, h) for i, h in enumerate(is_term) if h]
         quoted = _quoted(text, found) if _QUOTES.search(text) else ()
         exact, fuzzy, top, aside = 0.0, 0.0, 0.0, 0.0
         terms = set()
@@ -294,7 +332,7 @@ def fit_model(rows: DataFrame, weight: dict[int, float]) -> dict:
 
     def weighed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicons = [_lexicon(t) for t in sent.value]
-        with dropped(*(c for x in lexicons for c in (x.known, x.moves))):
+        with dropped(*(c for x in lexicons for c in (x.known, x.states))):
             for pdf in parts:
                 yield pd.DataFrame({"y": pdf["slot"] // 2, "x": [lexicons[s % 2].features(t) for t, s in zip(pdf["text"], pdf["slot"], strict=True)]})
 
@@ -340,7 +378,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score")
 def _scored(parts: Iterator[pd.Series], model: dict) -> Iterator[pd.Series]:
     lexicon = _lexicon(model["terms"])
     mean, scale, b = (np.array(model[k]) for k in ("mean", "scale", "b"))
-    with dropped(lexicon.known, lexicon.moves):
+    with dropped(lexicon.known, lexicon.states):
         for s in parts:
             x = np.array([lexicon.features(t) if t else [0.0] * N_FEATURES for t in s]).reshape(-1, N_FEATURES)
             yield pd.Series(1 / (1 + np.exp(-np.clip(b[0] + ((x - mean) / scale) @ b[1:], -30, 30))))

@@ -87,6 +87,17 @@ def test_levenshtein_is_brute_force():
         assert (got is None) == (least > 1) and (got is None or got[1] == least)
 
 
+def test_automaton_forgets_and_meets_strange_letters(monkeypatch):
+    whole = toxicity.Lexicon({"abcab": 1.0, "bbb*": 2.0})
+    words = ["".join(random.Random(i).choices("abcé語", k=i % 9)).encode() for i in range(800)]
+    want = [whole.look(w) for w in words]
+    assert any(want) and not whole.look("é語é語é".encode()) and whole.look("abcéb".encode()) == ("abcab", 1)
+    monkeypatch.setattr(toxicity, "CACHED_STATES", 3)
+    monkeypatch.setattr(toxicity, "CACHED_WORDS", 5)
+    small = toxicity.Lexicon(whole.terms)
+    assert [small.look(w) for w in words] == want and len(small.states) < 20 and len(small.known) <= 5
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "you idiot"), (2, "fine")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
