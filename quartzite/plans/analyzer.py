@@ -7,6 +7,7 @@ and missing labels never confuse Spark; labels are put on by the last select.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,6 +21,8 @@ from ..functions.scalar import Typed
 from . import ast
 
 _numbers = itertools.count()
+#: Pairs of rows that a task of a join without equal keys compares, rows from which the smaller side is worth dealing out, and most tasks.
+PAIRS, FEWEST, TASKS = 2**26, 256, 10_000
 SPARK_TO_DIALECT = {"boolean": "BOOLEAN", "tinyint": "INTEGER", "smallint": "INTEGER", "int": "INTEGER", "bigint": "INTEGER", "float": "FLOAT", "double": "FLOAT", "string": "STRING"}
 
 
@@ -52,6 +55,8 @@ class Scope:
     #: Computed expressions by syntax tree: group keys and aggregates.
     computed: dict[ast.Expr, Field] = field(default_factory=dict)
     grouped: bool = False
+    #: How many rows the DataFrame has: tables are counted, joins guessed from their sides.
+    rows: Callable[[DataFrame], int] = DataFrame.count
 
     def merged(self, other: Scope) -> Scope:
         for t in sorted(other.tables & self.tables):
@@ -126,6 +131,58 @@ def _walk(e: ast.Expr):
         yield from _walk(a)
 
 
+def _terms(e: ast.Expr | None) -> tuple[ast.Expr, ...]:
+    """What AND holds together."""
+    if isinstance(e, ast.Operator) and e.name == "and":
+        return tuple(t for a in e.args for t in _terms(a))
+    return () if e is None else (e,)
+
+
+def _columns(e: ast.Expr) -> list[ast.Column]:
+    return [c for c in _walk(e) if isinstance(c, ast.Column)]
+
+
+def _within(e: ast.Expr, scope: Scope) -> bool:
+    """Whether the expression has columns, all of this scope, and no aggregates."""
+    try:
+        return bool(_columns(e)) and not aggregate_calls(e) and all(scope.find(c) for c in _columns(e))
+    except InvalidInput:
+        return False
+
+
+def _keyed(terms: tuple[ast.Expr, ...], left: Scope, right: Scope, cross: bool) -> bool:
+    """Whether terms give the sides equal keys, directly or by a table yet to be joined; a cross join may also be put off until after that."""
+    further = [False, False]
+    for e in terms:
+        if isinstance(e, ast.Operator) and e.name == "=":
+            for a, b in (e.args, e.args[::-1]):
+                for i, (here, there) in enumerate(((left, right), (right, left))):
+                    if _within(a, here) and _columns(b):
+                        if _within(b, there):
+                            return True
+                        further[i] |= not _within(b, here)
+    return any(further) if cross else all(further)
+
+
+def blocks(left: int, right: int) -> tuple[int, int]:
+    """Into how many blocks of rows to deal either side, so that a pair of blocks has about PAIRS pairs of rows, or 1 / TASKS of all if that is more."""
+    each = max(PAIRS, math.ceil(left * right / TASKS))
+    side = math.isqrt(each)
+    n, m = math.ceil(left / side), math.ceil(right / side)
+    if n == 1 or m == 1:
+        n, m = (math.ceil(left * right / each), 1) if m == 1 else (1, math.ceil(left * right / each))
+    return n, m
+
+
+def _block(df: DataFrame, n: int, first: Callable[[Column], Column], step: int, copies: int, cells: int) -> tuple[DataFrame, str]:
+    """Each row dealt to one of n blocks, evenly whatever it holds, and copied to the cells of its block: first(block), and so on by step. With the cell's name."""
+    block, cell = unique(), unique()
+    df = df.repartition(n).withColumn(block, F.spark_partition_id() % n)
+    start = first(F.col(block))
+    df = df.withColumn(cell, F.explode(F.sequence(start, start + (copies - 1) * step, F.lit(step)))).drop(block)
+    return df.repartitionById(cells, cell), cell
+
+
 def aggregate_calls(e: ast.Expr) -> list[ast.Call]:
     found = [x for x in _walk(e) if isinstance(x, ast.Call) and x.name in aggregates.NAMES]
     for call in found:
@@ -151,23 +208,54 @@ class Analyzer:
         key = [f.internal for f in fields if f.name == source.primary_key]
         return df, Scope(fields, {label}), key
 
-    def source(self, s: ast.TableRef | ast.Join) -> tuple[DataFrame, Scope, list[str]]:
+    def source(self, s: ast.TableRef | ast.Join, terms: tuple[ast.Expr, ...] = ()) -> tuple[DataFrame, Scope, list[str]]:
+        """terms: what else must hold for rows to count."""
         if isinstance(s, ast.TableRef):
             return self.table(s)
-        left, left_scope, left_key = self.source(s.left)
+        terms, above = terms + _terms(s.on), terms
+        left, left_scope, left_key = self.source(s.left, {"left": above, "right": ()}.get(s.kind, terms))
         right, right_scope, right_key = self.table(s.right)
-        scope = left_scope.merged(right_scope)
-        if s.kind == "cross":
-            df = left.crossJoin(right)
-        else:
-            df = left.join(right, predicate(s.on, scope), s.kind)
+        df, scope = self.joined(left, left_scope, right, right_scope, s.kind, s.on, terms)
         return df, scope, left_key + right_key
 
+    def joined(self, left: DataFrame, left_scope: Scope, right: DataFrame, right_scope: Scope, kind: str, on: ast.Expr | None, terms: tuple[ast.Expr, ...]) -> tuple[DataFrame, Scope]:
+        """A join; one without equal keys is cut into tasks of bounded work: Spark would leave a small file's pairs, however many, to one task.
+
+        terms: what must hold for rows to count, ON included. Inner joins pair
+        blocks of both sides; outer ones deal out the side that keeps its rows.
+        """
+        scope = left_scope.merged(right_scope)
+        condition = None if on is None else predicate(on, scope)
+        whole = left.crossJoin(right) if condition is None else left.join(right, condition, kind)
+        if _keyed(terms, left_scope, right_scope, kind == "cross"):
+            scope.rows = lambda _: max(left_scope.rows(left), right_scope.rows(right))
+            return whole, scope
+        one, two = left, right
+        if kind in ("inner", "cross"):
+            # Spark pushes no filter through the blocks, and only rows that pass are to be counted and dealt.
+            for e in terms:
+                one = one.where(predicate(e, left_scope)) if _within(e, left_scope) else one
+                two = two.where(predicate(e, right_scope)) if _within(e, right_scope) else two
+        counts = left_scope.rows(one), right_scope.rows(two)
+        scope.rows = lambda _: math.prod(counts)
+        n, m = blocks(*counts) if min(counts) >= FEWEST else (1, 1)
+        if n * m == 1:
+            return whole, scope
+        if kind == "left":
+            return left.repartition(n * m).join(right, condition, kind), scope
+        if kind == "right":
+            return left.join(right.repartition(n * m), condition, kind), scope
+        one, a = _block(one, n, lambda i: i * m, 1, m, n * m)
+        two, b = _block(two, m, lambda i: i, m, n, n * m)
+        same = F.col(a) == F.col(b)
+        # By merging: a broadcast would bring the copies of a whole side to every executor.
+        return one.hint("merge").join(two, same if condition is None else same & condition), scope
+
     def select(self, s: ast.Select) -> DataFrame:
         df, scope, keys = self.spark.range(1).select(), Scope(), []
         for i, item in enumerate(s.sources):
-            other, other_scope, other_keys = self.source(item)
-            df, scope = (df.crossJoin(other), scope.merged(other_scope)) if i else (other, other_scope)
+            other, other_scope, other_keys = self.source(item, _terms(s.where))
+            df, scope = self.joined(df, scope, other, other_scope, "cross", None, _terms(s.where)) if i else (other, other_scope)
             keys += other_keys
         if s.where is not None:
             self._no_aggregates(s.where, "WHERE")

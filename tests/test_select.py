@@ -1,10 +1,13 @@
 """SELECT: names, joins, grouping, order and limits, over small tables with NULL, NaN and repeated values."""
 
+import bisect
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from quartzite.errors import InvalidInput
+from quartzite.plans import analyzer
 from quartzite.session import Engine, explain
 
 NAN = float("nan")
@@ -78,6 +81,53 @@ def test_outer_joins_follow_the_standard(db):
     assert len(rows(db, "SELECT m.id FROM movies m LEFT JOIN genres g ON FALSE")) == 10
 
 
+def test_joins_without_keys_share_out_their_pairs(spark):
+    engine = Engine(spark)
+    engine.register("t", spark.range(12_000).coalesce(1).selectExpr("id", "id * 7919 % 12000 AS v"))
+    got = engine.session().sql("SELECT a.id AS x, b.id AS y FROM t a JOIN t b ON a.v < b.v AND a.id > b.id")
+    tasks = [n for _, n in got.groupBy(F.spark_partition_id()).count().collect()]
+    seen, pairs = [], 0
+    for v in (i * 7919 % 12_000 for i in range(12_000)):
+        pairs += len(seen) - bisect.bisect(seen, v)
+        bisect.insort(seen, v)
+    assert sum(tasks) == pairs and max(tasks) < pairs / 3
+    assert got.selectExpr("count(DISTINCT x * 12000 + y)").first()[0] == pairs
+
+
+WITHOUT_KEYS = (
+    "SELECT a.id, b.id FROM g a JOIN g b ON a.real < b.real", "SELECT a.id, b.id FROM g a JOIN g b ON a.word > b.word OR a.flag", "SELECT m.id, g.id FROM movies m, g",
+    "SELECT m.id, g.id FROM movies m CROSS JOIN g WHERE m.id > 3 AND g.num < m.id AND g.id % 2 = 0", "SELECT a.id, b.id FROM movies a LEFT JOIN movies b ON a.released < b.released AND a.id > 4",
+    "SELECT a.id, b.id FROM movies a RIGHT JOIN g b ON a.rating < b.real WHERE b.id <> 3", "SELECT a.id, b.id, c.name FROM g a JOIN movies b ON a.num < b.id JOIN genres c ON b.genre_id = c.id",
+    "SELECT a.id, b.id FROM g a, movies b, genres c WHERE a.id = c.id AND b.genre_id = c.id", "SELECT a.id, b.id, c.id FROM g a JOIN g b ON a.id < b.id JOIN movies c ON b.id > c.id AND a.num <> 3",
+    "SELECT a.grp, COUNT(*), MAX(b.id) FROM g a JOIN movies b ON a.id <= b.id GROUP BY a.grp", "SELECT a.id, b.id FROM g a JOIN empty b ON a.id > b.id", "SELECT 1 FROM g a JOIN movies b ON TRUE",
+    "SELECT a.id, b.id FROM g a LEFT JOIN genres c ON a.id = c.id JOIN movies b ON c.id < b.id", "SELECT a.id, b.id FROM g a JOIN g b ON a.id < b.id LEFT JOIN genres c ON c.id = a.id WHERE c.id IS NULL",
+)
+
+
+def test_joins_without_keys_have_the_same_rows_in_blocks(db, spark, monkeypatch):
+    whole = [sorted(rows(db, sql), key=str) for sql in WITHOUT_KEYS]
+    assert len(whole[2]) == 70 and whole[0] and all(a is not None for a, _ in whole[0])
+    monkeypatch.setattr(analyzer, "PAIRS", 12)
+    monkeypatch.setattr(analyzer, "FEWEST", 2)
+    dealt = [db.sql(sql) for sql in WITHOUT_KEYS]
+    assert [sorted(map(tuple, df.collect()), key=str) for df in dealt] == whole
+    assert dealt[0].rdd.getNumPartitions() == 9 and dealt[2].rdd.getNumPartitions() == 12
+    ones = Engine(spark)
+    ones.register("t", spark.range(60).selectExpr("1L AS id"))
+    # Copies of one row are dealt out like others.
+    got = ones.session().sql("SELECT a.id AS x FROM t a JOIN t b ON a.id <= b.id").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(n for _, n in got) == 3600 and max(n for _, n in got) <= 16
+
+
+def test_blocks_have_bounded_pairs():
+    for left in (1, 300, 8192, 8193, 60_000, 360_000, 10**9):
+        for right in (1, 256, 5000, 8192, 100_000, 360_000):
+            n, m = analyzer.blocks(left, right)
+            most = max(analyzer.PAIRS, left * right / analyzer.TASKS)
+            assert math.ceil(left / n) * math.ceil(right / m) <= 1.01 * most + left / n + right / m
+            assert n * m <= 4 * (left * right / most + 1)
+
+
 def test_aggregates(db):
     assert rows(db, "SELECT COUNT(*), COUNT(num), COUNT(real), SUM(num), AVG(num), MIN(num), MAX(num) FROM g") == [(7, 6, 6, 50, 8, -1, 42)]
     assert rows(db, "SELECT MIN(flag), MAX(flag), MIN(word), MAX(word) FROM g") == [(False, True, "", "👋")]
