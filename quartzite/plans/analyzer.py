@@ -198,6 +198,7 @@ class Analyzer:
 
     def __init__(self, spark: SparkSession, tables: Callable[[str], Source]):
         self.spark, self.tables = spark, tables
+        self.counts: dict[str, int] = {}
 
     def table(self, ref: ast.TableRef) -> tuple[DataFrame, Scope, list[str]]:
         source = self.tables(ref.name)
@@ -206,7 +207,16 @@ class Analyzer:
         for f in fields:
             f.table = label
         key = [f.internal for f in fields if f.name == source.primary_key]
-        return df, Scope(fields, {label}), key
+
+        def rows(d: DataFrame) -> int:
+            if d is not df:
+                return d.count()
+            # A table that is joined with itself is counted once.
+            if ref.name not in self.counts:
+                self.counts[ref.name] = d.count()
+            return self.counts[ref.name]
+
+        return df, Scope(fields, {label}, rows=rows), key
 
     def source(self, s: ast.TableRef | ast.Join, terms: tuple[ast.Expr, ...] = ()) -> tuple[DataFrame, Scope, list[str]]:
         """terms: what else must hold for rows to count."""
